@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, lm, quality, sharding, simhash, tokencount
+from . import bpe, chat, decontaminate, langid, lm, quality, sharding, simhash, tokencount, warc
 from .common import load
 
 #: Where vocabulary files lie; a parameter, for they are not part of this repository.
@@ -38,6 +38,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(load(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_through_archives(load(spark, sf_dir, "pages")).drop("uri", "date")
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -59,4 +63,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_byte_bpe, op4_lm_scoring, op5_language_id, op7_chat_formatting, op8_quality_rules, op9_token_counts, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_simhash, op3_byte_bpe, op4_lm_scoring, op5_language_id, op6_warc, op7_chat_formatting, op8_quality_rules, op9_token_counts, op10_sharding)}
