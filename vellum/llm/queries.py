@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, langid, lm, quality, sharding, simhash, tokencount, warc
 from .common import load
+from .oracles import ORACLES  # noqa: F401  read by the entry module
 
 #: Where vocabulary files lie; a parameter, for they are not part of this repository.
 TOKENIZER_PATH = public_tokenizers.path
@@ -57,7 +58,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(load(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-ORACLES: dict[str, str] = {}
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(load(spark, sf_dir, "documents"))
