@@ -1,0 +1,76 @@
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from vellum.llm import sharding
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, 3) for r in rows], "doc_id long, text string, shard int")
+
+
+def fixture(n=3000, hot=1000):
+    random.seed(7)
+    rows = [(i, "x" * random.randint(0, 400) + f" é{i}") for i in range(n)]
+    rows += [(10_000 + i, "the same text " * 10) for i in range(hot)]
+    return rows + [(None, "null id"), (5, None), (6, ""), (20_000, "long " * 2000)]
+
+
+def check(rows, found, shards=16, off=0.02):
+    assert len(found) == len(rows)
+    want = sorted((d if d is not None else -1, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.size, r.text_crc32) for r in found) == want
+    slots, size = defaultdict(list), defaultdict(int)
+    for r in found:
+        assert r.law == "bytes" and r.grown_shard is None and 0 <= r.shard < shards
+        slots[r.shard].append(r.slot)
+        size[r.shard] += r.size
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    total, largest = sum(size.values()), max(w[1] for w in want)
+    assert all(abs(size[s] - total / shards) <= off * total / shards + 2 * largest for s in range(shards))
+
+
+@pytest.mark.parametrize("bucket", [64 << 20, 5000])
+def test_laws(spark, monkeypatch, bucket):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", bucket)
+    rows = fixture()
+    check(rows, sharding.shard_documents(docs(spark, rows)).collect())
+
+
+def test_hot_group_is_split_and_small_ones_are_whole(spark):
+    rows = fixture()
+    rows += [(30_000 + i, f"pair {i // 2}" * 3) for i in range(400)]
+    found = sharding.shard_documents(docs(spark, rows)).collect()
+    check(rows, found)
+    by_text = defaultdict(set)
+    for r in found:
+        by_text[r.text_crc32].add(r.shard)
+    assert sum(len(s) > 1 for s in by_text.values()) <= 4 and max(map(len, by_text.values())) > 1
+
+
+def test_splitters_by_brute_force(spark):
+    random.seed(8)
+    sized = [(random.getrandbits(63) if i % 3 else (random.getrandbits(5) << 58 | random.getrandbits(24)), random.randint(1, 50)) for i in range(2000)]
+    df = spark.createDataFrame(sized, "key long, size long")
+    edges = sharding.splitters(df, 32, 8)
+    assert edges == sorted(edges)
+    total = sum(s for _, s in sized)
+    for s in range(1, 8):
+        below = sum(z for k, z in sized if k < edges[4 * s - 1])
+        assert abs(below - total * s / 8) <= max(0.011 * total / 8, 50)
+    got = df.select("key", sharding.bucket_of(F.col("key"), edges).alias("b")).collect()
+    assert all(r.b == sum(e <= r.key for e in edges) for r in got)
+
+
+def test_small_tables(spark):
+    assert sharding.shard_documents(docs(spark, [])).count() == 0
+    rows = [(1, "a"), (1, "a"), (2, None)]
+    check(rows, sharding.shard_documents(docs(spark, rows)).collect())
+
+
+def test_carried_columns(spark):
+    rows = sharding.shard_documents(docs(spark, [(1, "abc"), (2, "d")]), carry=["text", "shard"]).collect()
+    assert sorted((r.doc_id, r.carried_text, r.carried_shard) for r in rows) == [(1, "abc", 3), (2, "d", 3)]
