@@ -1,0 +1,60 @@
+import pytest
+
+from vellum.errors import IllegalArgument
+from vellum.functions import records as R
+from vellum.functions.bloom import BloomFilter
+from vellum.functions.text import byte_text, count_text, duration_text
+
+
+def test_families():
+    families = R.check_families({"ab": ["b", "a"], "cd": ["c"]})
+    assert R.family_lookup(families)("a") == "ab" and R.family_lookup(families)("x") == "base"
+    assert R.split_data(families, {}) == {"base": {}, "ab": None, "cd": None}
+    assert R.split_data(families, {"a": 1, "x": None, "c": 2}) == {"base": {"x": None}, "ab": {"a": 1}, "cd": {"c": 2}}
+    with pytest.raises(IllegalArgument):
+        R.check_families({"a": ["x"], "b": ["x"]})
+
+
+def test_ids():
+    assert R.project_id(["id"], {"id": 5, "a": 1}) == 5
+    assert R.project_id(["a", "b"], {"b": 2, "a": 1}) == (1, 2)
+    with pytest.raises(IllegalArgument):
+        R.project_id(["id"], {"a": 1})
+
+
+def test_default_merge_keeps_nulls():
+    assert R.default_merge(None, {"a": 1, "b": 2}, {"b": None, "c": 3}) == {"a": 1, "b": None, "c": 3}
+    assert R.default_merge(None, None, {"a": 1}) == {"a": 1}
+
+
+def test_map_form_erases_fields_that_the_new_record_lacks():
+    merge = R.field_merger({"a": lambda old, new: (old or 0) + (new or 0)})
+    assert merge(None, {"a": 1, "b": 2}, {"a": 5}) == {"a": 6, "b": None}
+    assert merge(None, None, {"a": 5, "c": 1}) == {"a": 5, "c": 1}
+    assert R.field_merger({"a": "sum"})(None, {"a": None}, {"a": 5}) == {"a": 5}
+
+
+def test_function_form_sees_every_field():
+    assert R.field_merger(lambda f, old, new: (f, old, new))(None, {"a": 1}, {"b": 2}) == {"a": ("a", 1, None), "b": ("b", None, 2)}
+
+
+@pytest.mark.parametrize("bad", [{"update_field": 5}, {"update_field": {"a": 1}}, {"update_record": 1}, {"update_field": {}, "update_record": max}])
+def test_bad_updates(bad):
+    with pytest.raises(IllegalArgument):
+        R.record_updater(**bad)
+
+
+def test_bloom():
+    a = BloomFilter.create(100).into([bytes([i]) for i in range(50)])
+    assert all(bytes([i]) in a for i in range(50)) and sum(bytes([i]) in a for i in range(50, 250)) < 10
+    b = BloomFilter.create(100).insert(b"other", b"more")
+    both = a.merge(b)
+    assert both(b"other") and both(bytes([3])) and BloomFilter.from_form(both.to_form()) == both
+    with pytest.raises(IllegalArgument):
+        a.merge(BloomFilter.create(5000))
+
+
+def test_texts():
+    assert [byte_text(n) for n in (0, 1024, 2048, 3 << 30)] == ["0 B", "1024 B", "2.00 KB", "3.00 GB"]
+    assert [count_text(n) for n in (5, 1500)] == ["5", "1.50 K"]
+    assert [duration_text(s) for s in (0.25, 5, 65, 3700)] == ["250.0 ms", "5.00 s", "1:05", "1:01:40"]

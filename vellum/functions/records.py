@@ -196,15 +196,27 @@ def conform(df: DataFrame, schema: T.StructType, extra: Iterable[str] = ()) -> D
     return df.select(*columns, *extra)
 
 
-def records_frame(spark: SparkSession, records: Iterable[Mapping], key_types: Mapping[str, T.DataType] | None = None) -> DataFrame:
+def _fits(value, kind: T.DataType) -> bool:
+    """Whether a plain value can go into a column of a narrower type as it is."""
+    bits = {T.ByteType: 7, T.ShortType: 15, T.IntegerType: 31}.get(type(kind))
+    if value is None:
+        return True
+    if bits:
+        return isinstance(value, int) and not isinstance(value, bool) and -(1 << bits) <= value < 1 << bits
+    return isinstance(kind, T.TimestampNTZType) and isinstance(value, dt.datetime) and value.tzinfo is None
+
+
+def records_frame(spark: SparkSession, records: Iterable[Mapping], key_types: Mapping[str, T.DataType] | None = None, like: Mapping[str, T.DataType] | None = None) -> DataFrame:
     """A DataFrame of dicts: the union of their fields, NIL with the fields that are
-    present and null, SEQ with the order. Sets become sorted arrays."""
+    present and null, SEQ with the order. Sets become sorted arrays. ``like``: types that a
+    column takes if all its values fit."""
     records = [dict(r) for r in records]
     names = list(dict.fromkeys(f for r in records for f in r))
     bad = [n for n in names if not isinstance(n, str) or n.startswith(RESERVED)]
     if bad:
         raise IllegalArgument(f"bad field names {bad}")
-    found = {n: (key_types or {}).get(n) or _common(type_of(r.get(n)) for r in records) for n in names}
+    near = {n: t for n, t in (like or {}).items() if n in names and all(_fits(r.get(n), t) for r in records) and any(r.get(n) is not None for r in records)}
+    found = {n: (key_types or {}).get(n) or near.get(n) or _common(type_of(r.get(n)) for r in records) for n in names}
     types = {n: t or T.StringType() for n, t in found.items()}
 
     def plain(value, kind: T.DataType):

@@ -346,7 +346,7 @@ class Table:
         if not isinstance(records, DataFrame):
             records = list(records)
             have = {f.name: f.dataType for f in self.schema if f.name in self.primary_key}
-            return records_frame(self.store.spark, records, have)
+            return records_frame(self.store.spark, records, have, {f.name: f.dataType for f in self.schema})
         clash = [c for c in records.columns if c.startswith(RESERVED) and c not in (NIL, SEQ)]
         if clash:
             raise IllegalArgument(f"reserved column names {clash}")
