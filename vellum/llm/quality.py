@@ -38,6 +38,12 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _once(value: Column) -> Column:
+    """The same value, marked so that the optimizer neither copies its expression into each
+    place that uses it nor moves it below a filter on it."""
+    return F.when(F.monotonically_increasing_id() >= 0, value)
+
+
 def _repeated(words: Column, n: Column) -> Column:
     """Words inside five-word windows that occur twice or more, exactly: windows are
     sorted with their places, equal neighbours found, and the places' cover added up."""
@@ -70,15 +76,15 @@ def with_signals(df: DataFrame, text_col: str = "text", prefix: str = "__") -> D
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0)
     df = df.select(*keep, f"{p}words", windows.alias(f"{p}windows"), lines.alias(f"{p}line_list"))
     distinct = F.coalesce(F.size(F.array_distinct(f"{p}windows")) == F.size(f"{p}windows"), F.lit(True))
-    return df.select(
-        *keep,
-        n.cast("long").alias(f"{p}n_words"),
-        F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias(f"{p}word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias(f"{p}n_symbols"),
-        (F.size(f"{p}line_list") - F.size(F.array_distinct(f"{p}line_list"))).cast("long").alias(f"{p}n_dup_lines"),
-        F.when(distinct, F.lit(0)).otherwise(_repeated(F.col(f"{p}words"), n)).cast("long").alias(f"{p}n_repeat_words"),
-        F.size(f"{p}line_list").cast("long").alias(f"{p}n_lines"),
-    )
+    counts = {
+        "n_words": n,
+        "word_chars": F.length(F.regexp_replace(text, SPACE, "")),
+        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "n_dup_lines": F.size(f"{p}line_list") - F.size(F.array_distinct(f"{p}line_list")),
+        "n_repeat_words": F.when(distinct, F.lit(0)).otherwise(_repeated(F.col(f"{p}words"), n)),
+        "n_lines": F.size(f"{p}line_list"),
+    }
+    return df.select(*keep, *(_once(c.cast("long")).alias(f"{p}{name}") for name, c in counts.items()))
 
 
 def base_failed(p: str = "__") -> Column:
@@ -132,10 +138,19 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled) or repeat (each row is judged; each counts if labelled). Without labels, or
     with too few, only the base rules reject. An empty table gives an empty one. The
     table of cutoffs has a row per stratum; over BROADCAST_STRATA it is joined by a
-    shuffle instead of a broadcast."""
+    shuffle instead of a broadcast.
+
+    Signals of rows without text are written once to the shared folder. Where the text is
+    carried they are computed twice instead, for a copy of all texts would cost more."""
     carry = df.columns if carry is None else carry
-    signals = stash(with_signals(df.select(*dict.fromkeys([*carry, id_col, stratum_col, text_col])), text_col).select(*dict.fromkeys([*carry, id_col, stratum_col]), *(f"__{c}" for c in (*COUNTS, "n_lines"))), "signals")
-    cuts = cutoffs(signals, labels, id_col, stratum_col)
+    few = list(dict.fromkeys([id_col, stratum_col]))
+    counts = [f"__{c}" for c in (*COUNTS, "n_lines")]
+    if text_col in carry:
+        signals = with_signals(df.select(*dict.fromkeys([*carry, *few])), text_col)
+        cuts = cutoffs(with_signals(df.select(*dict.fromkeys([*few, text_col])), text_col).select(*few, *counts), labels, id_col, stratum_col)
+    else:
+        signals = stash(with_signals(df.select(*dict.fromkeys([*carry, *few, text_col])), text_col).select(*dict.fromkeys([*carry, *few]), *counts), "signals")
+        cuts = cutoffs(signals, labels, id_col, stratum_col)
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
     rows = signals.withColumn("__stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0"))).join(cuts, "__stratum", "left")

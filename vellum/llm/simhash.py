@@ -187,9 +187,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with one row for each component: that of its component_id.
-    Rows with one id and one fingerprint are one document. Columns stay as they are."""
-    marked = stash(with_fingerprints(docs, text_col, "__fp"), "marked")
-    marks = marked.select(F.col(id_col).alias("doc_id"), F.col("__fp").alias("fp"))
+    Rows with one id and one fingerprint are one document. Columns stay as they are.
+    Fingerprints are computed twice, for a copy of all texts would cost more."""
+    marked = with_fingerprints(docs, text_col, "__fp")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marks = stash(with_fingerprints(narrow, "text", "fp").select("doc_id", "fp"), "marks")
     classes = fingerprint_classes(marks)
     keepers = marks.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # a component may hold several fingerprints of one id, so the least of them stands for it
