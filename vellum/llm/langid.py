@@ -26,8 +26,8 @@ SAMPLE, LANGUAGES = 6000, 256
 #: Ridge of the fit, sharpness of the scores, and the score gap below which a text is
 #: ambiguous.
 RIDGE, SHARPNESS, GAP = 0.3, 12.0, 0.2
-#: Characters that are hashed at a time.
-CHUNK = 1 << 20
+#: Characters that are hashed, and documents that are decoded, at a time.
+CHUNK, STEP = 1 << 20, 512
 
 
 @lru_cache
@@ -55,7 +55,7 @@ def features(text: str | None) -> np.ndarray | None:
                 spread = (grams + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)
                 counts += np.bincount(spread.astype(np.int64), minlength=DIMENSIONS)
     norm = np.sqrt(counts.sum())
-    return np.sqrt(counts) / norm if norm else None
+    return (np.sqrt(counts) / norm).astype(np.float32) if norm else None
 
 
 def codewords(n: int) -> np.ndarray:
@@ -77,12 +77,14 @@ class Codes:
         self.names, self.words = names, codewords(max(1, len(names)))
         if self.words.shape[1] == 0:
             return
-        x = np.hstack([vectors, np.ones((len(vectors), 1), vectors.dtype)]).astype(np.float32)
+        x = np.ones((len(vectors), vectors.shape[1] + 1), np.float32)
+        x[:, :-1] = vectors
         share = np.bincount(labels, minlength=len(names))
-        weight = np.sqrt(1 / np.maximum(1, share))[labels, None].astype(np.float32)  # each language counts alike
-        x_w, y_w = x * weight, self.words[labels] * weight
-        gram = (x_w.T @ x_w).astype(np.float64) + RIDGE * len(names) * 1e-2 * np.eye(x.shape[1])
-        self.planes = np.linalg.solve(gram, x_w.T @ y_w)
+        weight = (1 / np.maximum(1, share))[labels, None].astype(np.float32)  # each language counts alike
+        right_side = x.T @ (self.words[labels] * weight).astype(np.float32)
+        gram = (x.T @ (x * weight)).astype(np.float64)
+        gram[np.diag_indices_from(gram)] += RIDGE * len(names) * 1e-2
+        self.planes = np.linalg.solve(gram, right_side)
         right = (np.sign(x @ self.planes) == self.words[labels]).astype(float)
         trust = np.array([right[labels == i].mean(0) if (labels == i).any() else np.ones(self.words.shape[1]) for i in range(len(names))]) + 1e-9
         self.trust = trust / trust.sum(1, keepdims=True)
@@ -119,9 +121,8 @@ def fit(labelled: DataFrame) -> Codes:
 
     def make():
         def step(batch):
-            vectors = [features(t) for t in texts_of(batch)]
-            langs = [x for x, v in zip(batch.column(batch.schema.get_field_index("lang")).to_pylist(), vectors) if v is not None]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([v.astype("<f2").tobytes() for v in vectors if v is not None], pa.binary())], ["lang", "vector"])
+            found = [(lang, v.astype("<f2").tobytes()) for lang, t in zip(batch.column(1).to_pylist(), texts_of(batch)) if (v := features(t)) is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.binary())], ["lang", "vector"])
 
         return step
 
@@ -141,6 +142,10 @@ def predict(df: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
         codes = shared.value
 
         def step(batch):
+            for at in range(0, batch.num_rows, STEP):
+                yield predicted(batch.slice(at, STEP))
+
+        def predicted(batch):
             vectors = [features(v.as_py()) for v in batch.column(batch.schema.get_field_index(text_col))]
             known = np.array([v is not None for v in vectors], bool) & bool(codes.names)
             langs, scores, close = np.array(["und"] * len(vectors), object), np.zeros(len(vectors)), np.zeros(len(vectors), bool)
@@ -149,7 +154,7 @@ def predict(df: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
                 langs[known] = [codes.names[i] for i in best]
                 scores[known], close[known] = score, gap < GAP
             new = [pa.array(langs, pa.string()), pa.array(scores), pa.array(close)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__lang", "__score", "__ambiguous"])
+            return pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, "__lang", "__score", "__ambiguous"])
 
         return step
 
