@@ -223,3 +223,16 @@ def test_random_operations(store, seed):
         assert t.count == len(model.rows)
     if t.root["schemas"]:
         assert t.records() == model.scan() == t.compact().records()
+
+
+def test_bloom_filters_of_keys(store, spark):
+    import pyarrow.parquet as pq
+
+    sizes = []
+    for bloom in (False, True):
+        t = made(store, partition_limit=1000, bloom=bloom).load_records(spark.range(900))
+        files = [f.removeprefix("file://") for f in t.scan(ordered=False).inputFiles()]
+        assert all(pq.read_metadata(f).num_rows for f in files)
+        sizes.append(t.list_partitions()[0]["size"])
+        assert [r.id for r in t.read([5, 2000]).collect()] == [5]
+    assert sizes[1] > sizes[0]

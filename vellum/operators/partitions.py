@@ -9,7 +9,6 @@ partition's content id, so that equal content is recognised whatever file holds
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -53,18 +52,17 @@ def row_digest(columns: list[str], types: dict[str, T.DataType]) -> list[Column]
     return [F.sum(half(1)).cast("string").alias("h1"), F.sum(half(16)).cast("string").alias("h2")]
 
 
-def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str], limit: int, schema_id: int, check: Callable[[int], None] | None = None, bytes_per_task: int | None = None) -> list[tuple[int, dict]]:
+def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str], limit: int, schema_id: int, bloom: bool = False) -> list[tuple[int, dict]]:
     """(run, entry) of each written partition, in key order. ``df`` has the key fields, any
     fields, NIL and, optionally, RUN: neighbours of different runs never share a
-    partition, and each run is cut by itself."""
+    partition, and each run is cut by itself. ``bloom``: files get Parquet Bloom filters of
+    the key fields, which point reads then use."""
     spark, order = store.spark, key_order(codec, primary_key)
     df = df if RUN in df.columns else df.withColumn(RUN, F.lit(0))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = store.scratch(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(AT, F.monotonically_increasing_id()), "sorted")
     task = F.shiftrightunsigned(AT, 33)
     counts = held.groupBy(task.alias("task"), RUN).agg(F.count("*").alias("n")).orderBy("task", RUN).collect()
-    if check:
-        check(sum(r.n for r in counts))
     if not counts:
         return []
     totals: dict[int, int] = {}
@@ -87,7 +85,10 @@ def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str
     kept = [c for c in held.columns if c not in (AT, RUN, DEAD, SEQ)]
     cut = held.withColumn("__v_task", task).join(F.broadcast(where), ["__v_task", RUN]).select(*(F.col(f"`{c}`") for c in kept), part.cast("long").alias(PART), RUN)
     path = store.new_data("parts")
-    cut.sortWithinPartitions(PART, *order).write.partitionBy(PART, RUN).parquet(path)
+    writer = cut.sortWithinPartitions(PART, *order).write.partitionBy(PART, RUN)
+    for k in primary_key if bloom else ():
+        writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", str(limit))
+    writer.parquet(path)
     return describe(store, path, df.select(*kept).schema, codec, primary_key, schema_id)
 
 

@@ -489,7 +489,7 @@ class Table:
         schema_id = len(self.root["schemas"]) - 1
         if not parts:
             alive = remove_tombstones(changes)
-            return index.build_tree(self.store, self.root["fan_out"], [e for _, e in partitions.write_partitions(self.store, alive, codec, pk, limit, schema_id)])
+            return index.build_tree(self.store, self.root["fan_out"], [e for _, e in partitions.write_partitions(self.store, alive, codec, pk, limit, schema_id, self.root["bloom"])])
         firsts = [self._edges(p)[0] for p in parts]
         touched = self._touched(changes, n, firsts)
         spans = _spans(touched, MERGE_RUNS)
@@ -506,7 +506,7 @@ class Table:
         replaced: dict[str, list[dict]] = {}
         for a, b in spans:
             replaced |= {p["id"]: [] for p in parts[a : b + 1]}
-        for run, entry in partitions.write_partitions(self.store, rows, codec, pk, limit, schema_id):
+        for run, entry in partitions.write_partitions(self.store, rows, codec, pk, limit, schema_id, self.root["bloom"]):
             replaced[parts[spans[run][0]]["id"]] = [*replaced[parts[spans[run][0]]["id"]], known.get(entry["id"], entry)]
         return index.update_tree(self.store, self.root["fan_out"], self.root["data"], replaced)
 
@@ -570,7 +570,7 @@ class Table:
             bad = bad | c.rejects(F.col(f"`{k}`"))
         table_rows = table_rows.withColumn("__v_ok", F.when(bad, F.raise_error(F.lit("ILLEGAL_KEY"))).otherwise(F.lit(True))).filter("__v_ok").drop("__v_ok")
         try:
-            written = [e for _, e in partitions.write_partitions(self.store, table_rows, table.codec, self.primary_key, self.root["partition_limit"], len(table.root["schemas"]) - 1)]
+            written = [e for _, e in partitions.write_partitions(self.store, table_rows, table.codec, self.primary_key, self.root["partition_limit"], len(table.root["schemas"]) - 1, self.root["bloom"])]
         except Exception as e:  # noqa: BLE001  py4j wraps the Java error
             raise (IllegalArgument(f"records with invalid keys for {table.codec.config!r}") if "ILLEGAL_KEY" in str(e) else e) from e
         if not written:
