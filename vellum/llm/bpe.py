@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, map_arrow, texts_of
+from .common import id_text, map_arrow, spread, texts_of
 
 #: Bytes up to which a piece is a leaf of the tree.
 LEAF = 32
@@ -166,6 +166,6 @@ def encode_documents(df: DataFrame, vocabulary: bytes, pattern: str, id_col: str
 
         return step
 
-    rows = id_text(df, id_col, text_col)
+    rows = spread(id_text(df, id_col, text_col))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return map_arrow(rows, make, schema + (", token_ids binary" if with_ids else ""))

@@ -48,6 +48,16 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small input to all cores: one whose files are so few that a scan
+    would leave three quarters of them idle. A larger one is left where it is read."""
+    session = df.sparkSession._jsparkSession
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+    return df.repartition(cores) if size < cores * session.sessionState().conf().filesMaxPartitionBytes() // 4 else df
+
+
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so that no further column can clash with an output."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

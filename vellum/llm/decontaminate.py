@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, texts_of
+from .common import id_text, map_arrow, spread, texts_of
 
 WINDOW, SHINGLE = 10, 3
 #: Windows of items in one broadcast slice (some 200 bytes each). More items make more
@@ -90,7 +90,7 @@ def find_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     items or documents all counts are zero or the result is empty. Further columns never
     clash. Items beyond SLICE_WINDOWS windows are joined slice by slice, so that what is
     broadcast has a fixed bound."""
-    rows, name = (docs, text_col) if keep else (id_text(docs, id_col, text_col), "text")
+    rows, name = (spread(docs), text_col) if keep else (spread(id_text(docs, id_col, text_col)), "text")
     state = rows.withColumn("__spans", F.lit(b"")).withColumn("__items", F.array().cast("array<string>"))
     texts = rows.select(F.col(name).alias("text"))
     slices: list[dict] = [defaultdict(list)]

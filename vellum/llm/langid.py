@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, map_arrow, remainder, texts_of
+from .common import id_text, map_arrow, remainder, spread, texts_of
 
 #: Hashed n-grams (orders 1 to 3) fall into this many dimensions.
 DIMENSIONS, ORDERS = 2048, 3
@@ -168,7 +168,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
     Rows with a null text or lang teach nothing. Ids may be null (fold 0, so they teach)
     or repeat. An empty table gives an empty one; further columns are left out."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")))
     codes = fit(rows.filter(remainder("doc_id", folds) != held))
     found = predict(id_text(rows), codes)
     return found.select("doc_id", (remainder("doc_id", folds) == held).alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__ambiguous").alias("ambiguous"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import spread, stash
 
 RISK, ERROR = 0.02, 0.05
 #: Rule -> candidate cutoffs, lowest first.
@@ -142,7 +142,7 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Signals of rows without text are written once to the shared folder. Where the text is
     carried they are computed twice instead, for a copy of all texts would cost more."""
-    carry = df.columns if carry is None else carry
+    carry, df = df.columns if carry is None else carry, spread(df)
     few = list(dict.fromkeys([id_col, stratum_col]))
     counts = [f"__{c}" for c in (*COUNTS, "n_lines")]
     if text_col in carry:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, map_arrow, stash, texts_of
+from .common import id_text, map_arrow, spread, stash
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCKS, AGREE = 6, 3
@@ -180,7 +180,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     any other. Rows that repeat an id each get a row. A null id gets a row too, and is
     never a component's id unless all ids of the component are null. An empty table gives
     an empty one; further columns are left out; texts of any length count whole."""
-    rows = id_text(df, id_col, text_col)
+    rows = spread(id_text(df, id_col, text_col))
     marks = stash(with_fingerprints(rows, "text", "fp").select("doc_id", "fp"), "doc_fingerprints")
     return marks.join(fingerprint_classes(marks), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -189,8 +189,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` with one row for each component: that of its component_id.
     Rows with one id and one fingerprint are one document. Columns stay as they are.
     Fingerprints are computed twice, for a copy of all texts would cost more."""
-    marked = with_fingerprints(docs, text_col, "__fp")
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marked = with_fingerprints(spread(docs), text_col, "__fp")
+    narrow = spread(id_text(docs, id_col, text_col))
     marks = stash(with_fingerprints(narrow, "text", "fp").select("doc_id", "fp"), "marks")
     classes = fingerprint_classes(marks)
     keepers = marks.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, texts_of
+from .common import id_text, map_arrow, spread, texts_of
 
 #: Entries of the broadcast table, and the longest pre-token in it (characters).
 TABLE_ENTRIES, TABLE_LENGTH = 1 << 16, 32
@@ -96,7 +96,7 @@ def count_tokens(df: DataFrame, model: bytes, limit: int = 4096, id_col: str = "
     text counts as empty: no bytes, no tokens. Ids may be null or repeat; an empty table
     gives an empty one; further columns are left out."""
     check_model(model)
-    rows = id_text(df, id_col, text_col)
+    rows = spread(id_text(df, id_col, text_col))
     shared = df.sparkSession.sparkContext.broadcast((model, frequent(rows, model)))
 
     def make():

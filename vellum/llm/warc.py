@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_path, stash
+from .common import map_arrow, shared_path, spread, stash
 
 #: Field names of the header lines by version of the format.
 ARC_FIELDS = {
@@ -314,7 +314,7 @@ def pages_through_archives(pages: DataFrame, id_col: str = "page_id", url_col: s
     A null html is an empty payload. Ids may be null (kept as null) or repeat; line ends in
     a URL are escaped. An empty table gives an empty one. Further columns are left out. A
     payload of any length up to what a row may hold (2 GB) counts whole."""
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, spread(pages)
     records = with_revisits(stash(convert_archives(pages_to_arcs(pages, id_col, url_col, html_col)), "arc_records"))
     path = shared_path(spark, "warc")
     write_warcs(records, path)
