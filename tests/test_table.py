@@ -236,3 +236,15 @@ def test_bloom_filters_of_keys(store, spark):
         sizes.append(t.list_partitions()[0]["size"])
         assert [r.id for r in t.read([5, 2000]).collect()] == [5]
     assert sizes[1] > sizes[0]
+
+
+def test_partition_like_and_job_groups(store, spark):
+    from vellum.plans.jobs import job_group
+
+    t = made(store, partition_limit=10).load_records(spark.range(100))
+    with job_group(spark, "outer"):
+        with job_group(spark, "inner", "text"):
+            assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "inner"
+        assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "outer"
+        df = t.partition_like(spark.range(50, 150))
+        assert df.select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg(F.max("id") - F.min("id")).count() == 10

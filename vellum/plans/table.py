@@ -593,6 +593,12 @@ class Table:
         rows = self._stored(written, self.primary_key)
         return not rows.groupBy(*(f"`{k}`" for k in self.primary_key)).count().filter("count > 1").isEmpty()
 
+    def partition_like(self, df: DataFrame) -> DataFrame:
+        """``df`` range-partitioned and sorted by the key, in as many partitions as the
+        table has: what joins with a scan or is appended moves no further."""
+        n = max(1, sum(1 for _ in index.entries(self.store, self.root["data"])))
+        return df.repartitionByRange(n, *self._order()).sortWithinPartitions(*self._order())
+
     def list_partitions(self) -> list[dict]:
         return [{k: p[k] for k in ("id", "count", "size", "first", "last")} for p in index.entries(self.store, self.root["data"])]
 

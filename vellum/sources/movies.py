@@ -9,6 +9,7 @@ from ..functions.text import blank_as_absent, genres_of, title_of, year_of
 from ..operators.stats import collect_table_stats, print_table_stats
 from ..plans.connection import Connection
 from ..plans.database import Database
+from ..plans.jobs import job_group
 from ..plans.table import Table
 
 #: Settings of the tables.
@@ -43,12 +44,8 @@ def rating_records(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_table(store, name: str, records: DataFrame, settings: dict, out=print) -> Table:
-    context = store.spark.sparkContext
-    context.setJobGroup(f"load:{name}", f"bulk load of {name}")
-    try:
+    with job_group(store.spark, f"load:{name}", f"bulk load of {name}"):
         table = Table.new(store, name, **settings).load_records(records)
-    finally:
-        context.setLocalProperty("spark.jobGroup.id", None)
     print_table_stats(collect_table_stats(table), out)
     return table
 
