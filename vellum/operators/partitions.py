@@ -21,6 +21,8 @@ from ..functions.records import DEAD, NIL, SEQ
 #: Rows of a partition. Tables of tests and small tables set less.
 LIMIT = 1_000_000
 AT, PART, RUN = "__v_at", "__v_part", "__v_run"
+#: Bytes of input files for each task of the sort, at most.
+TASK_BYTES = 256 << 20
 
 
 def max_limit(limit: int) -> int:
@@ -39,6 +41,13 @@ def chunk_plan(total: int, limit: int) -> tuple[int, int, int]:
     return (full, ceil(rest / 2), rest // 2) if rest > limit else (full, rest, 0)
 
 
+def source_bytes(df: DataFrame) -> int:
+    """Size of the files and relations that a plan reads."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    known = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(b for b in known if b < 1 << 60)  # an unknown size reads as the largest
+
+
 def key_order(codec: K.Codec, primary_key: list[str]) -> list[Column]:
     return [F.col(f"`{k}`").desc() if c.descending else F.col(f"`{k}`").asc() for c, k in zip(K.parts_of(codec), primary_key)]
 
@@ -59,7 +68,7 @@ def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str
     the key fields, which point reads then use."""
     spark, order = store.spark, key_order(codec, primary_key)
     df = df if RUN in df.columns else df.withColumn(RUN, F.lit(0))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(source_bytes(df) / TASK_BYTES))
     held = store.scratch(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(AT, F.monotonically_increasing_id()), "sorted")
     task = F.shiftrightunsigned(AT, 33)
     counts = held.groupBy(task.alias("task"), RUN).agg(F.count("*").alias("n")).orderBy("task", RUN).collect()
