@@ -59,3 +59,19 @@ def test_each_stage_keeps_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    text = "some plain words of one text that are long enough to pass the rules of the first stage"
+    rows = [(None, None, None, None, None, None), (None, text, None, None, None, "x"), (1, text, "en", "s", 5, None), (1, text, "en", "s", 5, None), (2, "", "en", "s", 0, "y"), (3, "word " * 200_000, "en", "s", 9, "z"), (4, " \n\t ", None, "s", 1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, fingerprint string")
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, sf_dir)
+        ids = [r.doc_id for r in found.collect()]
+        assert set(ids) <= {None, 1, 2, 3, 4}
+        if name == "quality_rules":
+            assert sorted(ids, key=str) == [1, 1, None]
+        if name == "simhash_near_dedup":
+            assert ids.count(1) == 1 and len(ids) == 3
+        if name in ("benchmark_decontamination", "byte_bpe"):
+            assert len(ids) == len(rows)
