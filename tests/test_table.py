@@ -248,3 +248,14 @@ def test_partition_like_and_job_groups(store, spark):
         assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "outer"
         df = t.partition_like(spark.range(50, 150))
         assert df.select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg(F.max("id") - F.min("id")).count() == 10
+
+
+def test_whole_folders_are_one_path(store, spark):
+    from vellum.operators.partitions import folders
+
+    t = made(store, partition_limit=10).load_records(spark.range(400).withColumn("a", F.lit(1)))
+    parts = t._parts()
+    assert len(parts) == 40 and len(folders(parts)[0]) == 1 and len(folders(parts[1:])[0]) == 39
+    u = t.insert([{"id": 77, "a": 2}]).append(spark.range(1000, 1020).withColumn("a", F.lit(3)))
+    assert u.scan().agg(F.count("*"), F.sum("a")).first()[:] == (420, 400 + 1 + 60) and u.scan().columns == ["id", "a"]
+    assert t.scan(fields=["a"]).count() == 400 and [r.id for r in t.scan(offset=395).collect()] == list(range(395, 400))

@@ -112,14 +112,29 @@ def describe(store, path: str, schema: T.StructType, codec: K.Codec, primary_key
     ordered = F.struct(*(_rankable(F.col(f"`{k}`"), types[k], c) for k, c in zip(primary_key, K.parts_of(codec))))
     files = data.groupBy(PART, RUN, F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_size").alias("size"), F.count("*").alias("n"), F.min_by(key, ordered).alias("lo"), F.max_by(key, ordered).alias("hi"), F.min(ordered).alias("lo_r"), F.max(ordered).alias("hi_r"), *row_digest(columns, types))
     parts = files.groupBy(PART, RUN).agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min_by("lo", "lo_r").alias("lo"), F.max_by("hi", "hi_r").alias("hi"), F.sum(F.col("h1").cast("decimal(38,0)")).cast("string").alias("h1"), F.sum(F.col("h2").cast("decimal(38,0)")).cast("string").alias("h2"))
-    out = []
-    for r in parts.orderBy(PART).collect():
+    out, found = [], parts.orderBy(PART).collect()
+    for r in found:
         lo, hi = encode_key(codec, r.lo, primary_key).hex(), encode_key(codec, r.hi, primary_key).hex()
         content = hashlib.sha256(f"{r.n}|{lo}|{hi}|{r.h1}|{r.h2}|{','.join(columns)}".encode()).hexdigest()
-        out.append((r[RUN], {"type": "partition", "id": content, "count": r.n, "size": r["size"], "first": lo, "last": hi, "path": f"{path}/{PART}={r[PART]}/{RUN}={r[RUN]}", "schema": schema_id}))
+        out.append((r[RUN], {"type": "partition", "id": content, "count": r.n, "size": r["size"], "first": lo, "last": hi, "path": f"{path}/{PART}={r[PART]}/{RUN}={r[RUN]}", "of": len(found), "schema": schema_id}))
     return out
 
 
+#: Partitions of one write from which their folder is read as a whole, if all are wanted.
+WHOLE_FOLDER = 32
+
+
+def folders(parts: list[dict]) -> list[list[str]]:
+    """Paths to read the partitions by, a list for each read: a folder that is wanted whole
+    is one path, so that the driver lists it once; others go path by path, together."""
+    by_folder: dict[str, list[dict]] = {}
+    for p in parts:
+        by_folder.setdefault(p["path"].rsplit("/", 2)[0], []).append(p)
+    whole = [f for f, some in by_folder.items() if len(some) == some[0]["of"] >= WHOLE_FOLDER]
+    rest = [p["path"] for p in parts if p["path"].rsplit("/", 2)[0] not in whole]
+    return [[f] for f in whole] + ([rest] if rest else [])
+
+
 def _rankable(value: Column, kind: T.DataType, codec: K.Codec) -> Column:
     """What min and max rank as the key's order does."""
     if not codec.descending:

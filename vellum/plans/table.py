@@ -150,15 +150,15 @@ class Table:
         if not parts:
             return None
         want = self.schema if columns is None else T.StructType([f for f in self.schema if f.name in columns])
-        by_schema: dict[int, list[str]] = {}
+        by_schema: dict[int, list[dict]] = {}
         for p in parts:
-            by_schema.setdefault(p["schema"], []).append(p["path"])
+            by_schema.setdefault(p["schema"], []).append(p)
         frames = []
-        for number, paths in by_schema.items():
+        for number, some in by_schema.items():
             had = T.StructType.fromJson(self.root["schemas"][number])
             read = T.StructType([*(f for f in had if f.name in want.names), T.StructField(NIL, T.ArrayType(T.StringType()))])
             try:
-                frames.append(conform(self.store.spark.read.schema(read).parquet(*paths), want, [NIL]))
+                frames += [conform(self.store.spark.read.schema(read).parquet(*paths), want, [NIL]) for paths in partitions.folders(some)]
             except Exception as e:  # noqa: BLE001  py4j wraps the Java error
                 raise (BrokenLink(f"data of {self.name!r} is missing") if "PATH_NOT_FOUND" in str(e) else e) from e
         out = frames[0]
