@@ -25,7 +25,7 @@ from .common import id_text, map_arrow, spread, texts_of
 #: Bytes up to which a piece is a leaf of the tree.
 LEAF = 32
 #: Entries of a worker's cache of encoded pieces, and bytes of the longest cached piece.
-CACHE_ENTRIES, CACHE_PIECE = 400_000, 48
+CACHE_ENTRIES, CACHE_PIECE = 250_000, 48
 #: Pieces of a text that are held at a time.
 CHUNK = 1 << 20
 

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words of the contracts that split at ASCII white space only.
-SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a worker's function sees at a time.
+SLICE = 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,12 +65,14 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str | T.StructType) -> DataFrame:
     """``mapInArrow`` with a per-task set-up: ``make()`` runs once in the task and
-    returns the function for each batch."""
+    returns the function for each batch, which has at most SLICE rows, so that what a
+    worker makes at a time stays small."""
 
     def run(batches):
         step = make()
         for batch in batches:
-            yield from step(batch)
+            for at in range(0, batch.num_rows, SLICE):
+                yield from step(batch.slice(at, SLICE))
 
     if isinstance(schema, T.StructType):  # whatever the input promised, outputs may be null
         schema = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
