@@ -115,3 +115,13 @@ def test_keep_one(spark):
     kept = simhash.keep_one(df).collect()
     assert sorted((r.doc_id or -1, r.lang) for r in kept if r.doc_id) == [(1, "fr"), (9, None)] or len(kept) == 3
     assert len(kept) == 3 and df.columns == simhash.keep_one(df).columns
+
+
+def test_keep_one_of_unrelated_texts_under_one_id(spark):
+    random.seed(4)
+    texts = [" ".join(random.choices("abcdefghijklmnop", k=40)) for _ in range(7)]
+    a, b, c, d, e, f, g = texts
+    rows = [(None, a), (None, b), (None, b), (None, c), (7, d), (7, e), (9, e), (7, f), (7, f), (3, g), (None, g)]
+    assert len(plain_components([plain_fingerprint(t) for t in texts])) == 7
+    found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([(None, a), (None, b), (None, c), (7, d), (7, e), (7, f), (3, g)], key=repr)

@@ -163,13 +163,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprint_classes(marks: DataFrame) -> DataFrame:
-    """Of (doc_id, fp) rows: (fp, component_id), one row per distinct fingerprint."""
+    """Of (doc_id, fp) rows: (fp, root, component_id), one row per distinct fingerprint;
+    root is the least fingerprint of its component."""
     distinct = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     nodes = components(links(distinct)).withColumnRenamed("node", "fp")
     linked = stash(nodes.join(distinct, "fp"), "linked")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = linked.join(roots, "root").select("fp", "component_id")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    named = linked.join(roots, "root").select("fp", "root", "component_id")
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,18 +186,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return marks.join(fingerprint_classes(marks), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rooted(marked: DataFrame, marks: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    """Of ``marked`` (with ``__fp``) one row for each root of ``classes`` (fp, root): that of
+    the least id, null ids last, then of the least fingerprint in ``marks`` (doc_id, fp)."""
+    places = marks.join(classes, "fp").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "fp")).alias("k"))
+    keepers = places.select(F.col("k.doc_id").alias("k_id"), F.col("k.fp").alias("k_fp"))
+    keepers = stash(keepers.withColumn("k_at", F.xxhash64("k_id", "k_fp")), "keepers")
+    # one exchange of the texts, by ``__at``, serves the join and the distinct rows
+    placed = marked.withColumn("__at", F.xxhash64(id_col, "__fp"))
+    same = (placed["__at"] == keepers["k_at"]) & (placed["__fp"] == keepers["k_fp"])
+    return placed.join(keepers, same & placed[id_col].eqNullSafe(keepers["k_id"]), "left_semi").dropDuplicates(["__at", id_col, "__fp"])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with one row for each component: that of its component_id.
-    Rows with one id and one fingerprint are one document. Columns stay as they are.
-    Fingerprints are computed twice, for a copy of all texts would cost more."""
+    """The rows of ``docs`` with one row for each component: that of its least id (null only
+    if all its ids are), and of the least fingerprint under that id. Components that share
+    an id, or have none, each keep their row. Rows with one id and one fingerprint are one
+    document. Columns stay as they are. Fingerprints are computed twice, for a copy of all
+    texts would cost more."""
     marked = with_fingerprints(spread(docs), text_col, "__fp")
     narrow = spread(id_text(docs, id_col, text_col))
     marks = stash(with_fingerprints(narrow, "text", "fp").select("doc_id", "fp"), "marks")
-    classes = fingerprint_classes(marks)
-    keepers = marks.join(classes, "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a component may hold several fingerprints of one id, so the least of them stands for it
-    keepers = stash(keepers.groupBy("component_id").agg(F.min("fp").alias("k_fp")), "keepers")
-    kept = marked.join(keepers, marked[id_col].eqNullSafe(keepers["component_id"]) & (marked["__fp"] == keepers["k_fp"]), "left_semi")
-    return kept.dropDuplicates([id_col, "__fp"]).select(*docs.columns)
-
-
+    return keep_rooted(marked, marks, fingerprint_classes(marks).select("fp", "root"), id_col).select(*docs.columns)
