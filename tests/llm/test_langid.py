@@ -42,3 +42,13 @@ def test_many_languages(spark):
     rows = [(i, " ".join(np.random.default_rng(i).choice(list(alphabets[i % 7]), 30)), f"l{i % 7}") for i in range(280)]
     found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
     assert np.mean([r.lang_pred == f"l{r.doc_id % 7}" for r in found if r.held_out]) > 0.95
+
+
+def test_more_than_256_languages_are_all_learned(spark):
+    n = 300
+    word = lambda i: "".join(chr(0x4E00 + 7 * i + k) for k in range(4))
+    rows = [(r * n + i, " ".join([word(i)] * 6), f"l{i:03}") for i in range(n) for r in range(8)]
+    found = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = {r[0]: r[2] for r in rows}
+    assert {r.lang_pred for r in found} == set(want.values())
+    assert sum(r.lang_pred == want[r.doc_id] for r in found) > 0.95 * len(rows)

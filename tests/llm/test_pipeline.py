@@ -75,3 +75,10 @@ def test_stages_on_odd_rows(spark, sf_dir):
             assert ids.count(1) == 1 and len(ids) == 3
         if name in ("benchmark_decontamination", "byte_bpe"):
             assert len(ids) == len(rows)
+
+
+def test_language_stage_without_labels_keeps_lettered_texts(spark, sf_dir):
+    rows = [(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "\u044f", None), (None, "x", None), (5, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = corpus_pipeline.language_stage(spark, docs, sf_dir).collect()
+    assert sorted((tuple(r) for r in kept), key=repr) == sorted([rows[0], rows[3], rows[4]], key=repr)

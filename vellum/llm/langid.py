@@ -132,6 +132,11 @@ def fit(labelled: DataFrame) -> Codes:
     return Codes(names, vectors, np.array([number[r.lang] for r in rows], int))
 
 
+def only(name: str) -> Codes:
+    """What gives ``name`` to every text with a letter."""
+    return Codes([name], np.zeros((0, DIMENSIONS)), np.zeros(0, int))
+
+
 def predict(df: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
     """All columns and __lang, __score (0 to 1) and __ambiguous. A text without a letter,
     or null, is ``und`` with score 0 and not ambiguous; so is any text if no language was
