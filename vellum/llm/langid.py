@@ -21,13 +21,13 @@ from .common import id_text, map_arrow, remainder, spread, texts_of
 
 #: Hashed n-grams (orders 1 to 3) fall into this many dimensions.
 DIMENSIONS, ORDERS = 2048, 3
-#: Bound of the labelled sample that classifiers are fitted on, and of its languages.
-SAMPLE, LANGUAGES = 6000, 256
+#: Labelled rows that classifiers are fitted on: SAMPLE in all, but EACH of a language.
+SAMPLE, EACH = 6000, 12
 #: Ridge of the fit, sharpness of the scores, and the score gap below which a text is
 #: ambiguous.
 RIDGE, SHARPNESS, GAP = 0.3, 12.0, 0.2
-#: Characters that are hashed, and documents that are decoded, at a time.
-CHUNK, STEP = 1 << 20, 512
+#: Characters that are hashed, and documents and losses that are decoded, at a time.
+CHUNK, STEP, LOSSES = 1 << 20, 512, 512 * 256 * 80
 
 
 @lru_cache
@@ -65,9 +65,18 @@ def codewords(n: int) -> np.ndarray:
         columns = [(1, *rest) for rest in product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(columns, int).reshape(-1, n).T
     random, width = np.random.default_rng(7), int(np.ceil(10 * np.log2(n)))
-    draws = [random.choice((-1, 1), (n, width)) for _ in range(64)]
-    least = [((width - d @ d.T) // 2 + width * np.eye(n, dtype=int)).min() for d in draws]
-    return draws[int(np.argmax(least))]
+    best, most = None, -1
+    for _ in range(64):
+        draw = random.choice((-1, 1), (n, width))
+        exact = draw.astype(np.float32)
+        least = width
+        for at in range(0, n, 256):
+            same = exact[at : at + 256] @ exact.T
+            same[np.arange(len(same)), at + np.arange(len(same))] = -width
+            least = min(least, (width - int(same.max())) // 2)
+        if least > most:
+            best, most = draw, least
+    return best
 
 
 class Codes:
@@ -106,17 +115,16 @@ class Codes:
 def fit(labelled: DataFrame) -> Codes:
     """Classifiers from (doc_id, text, lang) rows.
 
-    At most SAMPLE labelled rows are fitted on, the same number of each of the LANGUAGES
-    most frequent languages (which rows, a hash of the id says); their feature vectors,
-    of fixed size, come to the driver, never more than twice SAMPLE."""
+    Every language is learned. Some SAMPLE labelled rows are fitted on, the same number of
+    each language (which rows, a hash of the id says), EACH at least; their feature
+    vectors, of fixed size, come to the driver, never more than twice as many."""
     labelled = labelled.filter("text is not null and lang is not null")
-    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     names = sorted(r.lang for r in found)
     if not names:
         return Codes([], np.zeros((0, DIMENSIONS)), np.zeros(0, int))
-    each, share = SAMPLE // len(names), F.lit(0.0)
-    for r in found:
-        share = F.when(F.col("lang") == r.lang, min(1.0, each / r.n)).otherwise(share)
+    each = max(EACH, SAMPLE // len(names))
+    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in found], "lang string, share double")
     at = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
 
     def make():
@@ -126,7 +134,8 @@ def fit(labelled: DataFrame) -> Codes:
 
         return step
 
-    rows = map_arrow(labelled.filter(at < share).select("text", "lang"), make, "lang string, vector binary").limit(2 * SAMPLE).collect()
+    some = labelled.join(F.broadcast(shares), "lang").filter(at < F.col("share")).select("text", "lang")
+    rows = map_arrow(some, make, "lang string, vector binary").limit(2 * max(SAMPLE, each * len(names))).collect()
     vectors = np.array([np.frombuffer(r.vector, "<f2") for r in rows], np.float32).reshape(-1, DIMENSIONS)
     number = {name: i for i, name in enumerate(names)}
     return Codes(names, vectors, np.array([number[r.lang] for r in rows], int))
@@ -147,8 +156,9 @@ def predict(df: DataFrame, codes: Codes, text_col: str = "text") -> DataFrame:
         codes = shared.value
 
         def step(batch):
-            for at in range(0, batch.num_rows, STEP):
-                yield predicted(batch.slice(at, STEP))
+            step = max(1, min(STEP, LOSSES // max(1, codes.words.size)))
+            for at in range(0, batch.num_rows, step):
+                yield predicted(batch.slice(at, step))
 
         def predicted(batch):
             vectors = [features(v.as_py()) for v in batch.column(batch.schema.get_field_index(text_col))]
