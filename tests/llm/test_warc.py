@@ -102,3 +102,9 @@ def test_archives_from_files(spark, tmp_path):
     files = spark.read.format("binaryFile").load(f"file://{tmp_path}")
     rows = warc.convert_archives(files).collect()
     assert len(rows) == 8 and sorted({r.type for r in rows}) == ["resource", "response"]
+
+
+def test_pages_under_filedesc_urls_are_pages(spark):
+    pages = [(1, "filedesc://pages.arc", "<p>one</p>"), (2, "filedesc:", None), (3, "http://x/", "<p>three</p>"), (None, "filedesc://y z", "<p>four</p>")]
+    found = warc.pages_through_archives(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.uri, r.record_type) for r in found) == sorted((str(p[0]), p[1], "response") for p in pages)

@@ -101,13 +101,15 @@ def head_value(head: bytes, name: str) -> str | None:
     return found[1] if found else None
 
 
-def convert(record: dict[str, str], block: bytes) -> dict:
+def convert(record: dict[str, str], block: bytes, first: bool | None = None) -> dict:
     """What WARC says of an ARC record: type, uri, date (ISO), ip, mime, head, payload,
-    and SHA-1 digests of block and payload."""
+    and SHA-1 digests of block and payload. The ``first`` of an archive is its version
+    block, whatever later URLs say; where that is not known, the URL tells."""
     head, payload = split_http(block)
     digits = (re.sub(r"\D", "", record["Archive-date"]) + "00000000000000")[:14]
     d = digits if re.fullmatch(r"\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])([01]\d|2[0-3])[0-5]\d[0-5]\d", digits) else "19700101000000"
-    kind = "warcinfo" if record["URL"].startswith("filedesc:") else "response" if head else "resource"
+    first = record["URL"].startswith("filedesc:") if first is None else first
+    kind = "warcinfo" if first else "response" if head else "resource"
     return {
         "type": kind,
         "uri": record["URL"],
@@ -231,8 +233,8 @@ def convert_archives(arcs: DataFrame) -> DataFrame:
                 if not content.is_valid:
                     continue
                 rows = []
-                for record, block in parse_arc(unzipped(content.as_py())):
-                    r = convert(record, block)
+                for i, (record, block) in enumerate(parse_arc(unzipped(content.as_py()))):
+                    r = convert(record, block, i == 0)
                     if r["type"] != "warcinfo":
                         page = head_value(r["head"], "X-Page-Id")
                         r |= {"page_id": int(page) if page else None, "payload_bytes": len(r["payload"]), "uri": r["uri"].encode("utf-8", "surrogateescape")}
