@@ -8,8 +8,10 @@ language, and takes the nearest codeword; a close second flags the text as ambig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,8 @@ from .common import id_text, map_arrow, remainder, spread, texts_of
 DIMENSIONS, ORDERS = 2048, 3
 #: Labelled rows that classifiers are fitted on: SAMPLE in all, but EACH of a language.
 SAMPLE, EACH = 6000, 12
+#: Seed of the draw of those rows.
+DRAW = 3
 #: Ridge of the fit, sharpness of the scores, and the score gap below which a text is
 #: ambiguous.
 RIDGE, SHARPNESS, GAP = 0.3, 12.0, 0.2
@@ -35,27 +39,39 @@ def letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def features(text: str | None) -> np.ndarray | None:
-    """Square roots of n-gram counts, at length one; None without a letter. What is no
-    letter parts words, as one mark."""
-    counts, table = np.zeros(DIMENSIONS), letters()
-    text = (text or "").lower()
+def marked(text: str) -> Iterator[np.ndarray]:
+    """Codes of the text, CHUNK at a time, zero for what is no letter; a zero at each end."""
+    yield np.zeros(1, np.uint64)
     for at in range(0, len(text), CHUNK):
         codes = np.frombuffer(text[at : at + CHUNK].encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
-        codes[~table[codes]] = 0
-        if not codes.any():
+        codes[~letters()[codes]] = 0
+        yield codes
+    yield np.zeros(1, np.uint64)
+
+
+def features(text: str | None) -> np.ndarray | None:
+    """Square roots of n-gram counts, at length one; None without a letter. What is no
+    letter parts words, as one mark. What a chunk ends with is carried into the next."""
+    counts, carry, lettered = np.zeros(DIMENSIONS), np.zeros(0, np.uint64), False
+    for codes in marked((text or "").lower()):
+        before = np.concatenate((carry[-1:] if len(carry) else [1], codes[:-1]))
+        codes = codes[(codes != 0) | (before != 0)]
+        if not len(codes):
             continue
-        codes = np.concatenate(([0], codes, [0])).astype(np.uint64)
-        codes = codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))]
-        grams = codes
+        lettered = lettered or bool(codes.any())
+        whole = np.concatenate((carry, codes))
         for order in range(ORDERS):
-            if order:
-                grams = grams[:-1] * np.uint64(0x110001) + codes[order:]
-            if len(grams):
-                spread = (grams + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)
-                counts += np.bincount(spread.astype(np.int64), minlength=DIMENSIONS)
-    norm = np.sqrt(counts.sum())
-    return (np.sqrt(counts) / norm).astype(np.float32) if norm else None
+            part = whole[max(0, len(carry) - order) :]
+            size = len(part) - order
+            if size <= 0:
+                continue
+            grams = part[:size]
+            for i in range(1, order + 1):
+                grams = grams * np.uint64(0x110001) + part[i : i + size]
+            spread = (grams + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 11)
+            counts += np.bincount(spread.astype(np.int64), minlength=DIMENSIONS)
+        carry = whole[-(ORDERS - 1) :]
+    return (np.sqrt(counts) / np.sqrt(counts.sum())).astype(np.float32) if lettered else None
 
 
 def codewords(n: int) -> np.ndarray:
@@ -116,16 +132,17 @@ def fit(labelled: DataFrame) -> Codes:
     """Classifiers from (doc_id, text, lang) rows.
 
     Every language is learned. Some SAMPLE labelled rows are fitted on, the same number of
-    each language (which rows, a hash of the id says), EACH at least; their feature
-    vectors, of fixed size, come to the driver, never more than twice as many."""
+    each language, EACH at least, drawn row by row with a fixed seed, whatever their ids
+    and texts; their feature vectors, of fixed size, come to the driver. Shares are so
+    much larger than they need be (six deviations) that no language falls short."""
     labelled = labelled.filter("text is not null and lang is not null")
     found = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     names = sorted(r.lang for r in found)
     if not names:
         return Codes([], np.zeros((0, DIMENSIONS)), np.zeros(0, int))
     each = max(EACH, SAMPLE // len(names))
-    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, each / r.n)) for r in found], "lang string, share double")
-    at = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 20)) / (1 << 20)
+    drawn = each + 6 * sqrt(each) + EACH
+    shares = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, drawn / r.n)) for r in found], "lang string, share double")
 
     def make():
         def step(batch):
@@ -134,8 +151,8 @@ def fit(labelled: DataFrame) -> Codes:
 
         return step
 
-    some = labelled.join(F.broadcast(shares), "lang").filter(at < F.col("share")).select("text", "lang")
-    rows = map_arrow(some, make, "lang string, vector binary").limit(2 * max(SAMPLE, each * len(names))).collect()
+    some = labelled.select("text", "lang", F.rand(DRAW).alias("at")).join(F.broadcast(shares), "lang").filter(F.col("at") < F.col("share"))
+    rows = map_arrow(some.select("text", "lang"), make, "lang string, vector binary").collect()
     vectors = np.array([np.frombuffer(r.vector, "<f2") for r in rows], np.float32).reshape(-1, DIMENSIONS)
     number = {name: i for i, name in enumerate(names)}
     return Codes(names, vectors, np.array([number[r.lang] for r in rows], int))
