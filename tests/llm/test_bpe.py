@@ -23,7 +23,7 @@ def encoded(text):
 
 
 def test_every_token_encodes_to_itself():
-    assert all(BPE.leaf(b) == [i] for b, i in BPE.ranks.items())
+    assert all(BPE.merge(b) == [i] for b, i in BPE.ranks.items())
 
 
 @settings(max_examples=300, deadline=None)
@@ -37,7 +37,25 @@ def test_texts_as_the_library(text):
 def test_join_at_any_place(text, at):
     data = text.encode()
     at = min(at, len(data))
-    assert BPE.join(BPE.leaf(data[:at]) if at else [], BPE.leaf(data[at:]) if at < len(data) else []) == (BPE.leaf(data) if data else [])
+    assert BPE.join(BPE.merge(data[:at]) if at else [], BPE.merge(data[at:]) if at < len(data) else []) == (BPE.merge(data) if data else [])
+
+
+def test_pieces_of_documents_go_up_the_tree(spark, sf_dir):
+    """Every piece that is no token itself is joined from its halves."""
+    bpe_ = bpe.ByteBPE.from_tiktoken(CONTENT)
+    cache, pieces = bpe.PieceCache(bpe_), set()
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        text = r.text or ""
+        ids = np.frombuffer(bpe.encode_text(text, PATTERN, cache), "<u4")
+        assert ids.tolist() == LIBRARY.encode_ordinary(text) and bpe_.decode(ids) == text.encode()
+        pieces.update(p.encode() for p in PATTERN.findall(text))
+    assert bpe_.joins >= sum(p not in bpe_.ranks for p in pieces) > 1000
+
+
+def test_decoding_of_any_number_of_tokens():
+    ids = [i % 50_000 for i in range(0, 700_000, 7)]
+    for n in (0, 1, 2, 3, 7, 64, 65, len(ids)):
+        assert BPE.decode(ids[:n]) == b"".join(BPE.bytes_of[i] for i in ids[:n])
 
 
 @pytest.mark.parametrize("text", ["a" * 5000, " " * 3001, "%#" * 2000, "\n" * 999, "é" * 1500, "abcabcab" * 700, "人" * 800, "\x00‍" * 500])

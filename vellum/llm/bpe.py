@@ -4,8 +4,8 @@ The canonical tokens of byte strings form a monoid under *join*: the tokens of `
 come from those of ``a`` and ``b`` by re-encoding a window around the boundary. A token
 sequence is canonical exactly if each neighbouring pair is (the two tokens re-encode to
 themselves); so the window is large enough as soon as the pair at each of its ends is
-canonical, and tokens outside it provably stay. A piece is encoded by halves, joined up
-the tree; decoding concatenates bytes up the same tree.
+canonical, and tokens outside it provably stay. A piece is encoded by halves down to its
+bytes, joined up the tree; decoding concatenates neighbours up such a tree, level by level.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import base64
 import hashlib
 import heapq
 from itertools import batched
+from operator import concat
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, map_arrow, spread, texts_of
 
-#: Bytes up to which a piece is a leaf of the tree.
-LEAF = 32
 #: Entries of a worker's cache of encoded pieces, and bytes of the longest cached piece.
 CACHE_ENTRIES, CACHE_PIECE = 250_000, 48
+#: Bytes up to which a node of the tree is remembered.
+SHORT = 8
 #: Pieces of a text that are held at a time.
 CHUNK = 1 << 20
 
@@ -37,13 +38,24 @@ class ByteBPE:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self._pairs: dict[tuple[int, int], bool] = {}
+        self._short: dict[bytes, list[int]] = {}
+        self.joins = 0
 
     @classmethod
     def from_tiktoken(cls, content: bytes) -> ByteBPE:
         return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines()) if a})
 
-    def leaf(self, data: bytes) -> list[int]:
-        """The merges themselves: always the pair of lowest rank, the leftmost first."""
+    def window(self, data: bytes) -> list[int]:
+        """Canonical tokens of the bytes of a window; short ones are remembered."""
+        if (known := self._short.get(data)) is not None:
+            return known
+        out = self.merge(data)
+        if len(data) <= SHORT:
+            self._remember(data, out)
+        return out
+
+    def merge(self, data: bytes) -> list[int]:
+        """The merges by definition: always the pair of lowest rank, the leftmost first."""
         ranks, n = self.ranks, len(data)
         if data in ranks:
             return [ranks[data]]
@@ -74,35 +86,53 @@ class ByteBPE:
         if (known := self._pairs.get((a, b))) is None:
             if len(self._pairs) > CACHE_ENTRIES:
                 self._pairs.clear()
-            known = self._pairs[a, b] = self.leaf(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self._pairs[a, b] = self.window(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The monoid's operation, by growing boundary windows."""
         if not left or not right:
             return left or right
+        self.joins += 1
         if self.canonical(left[-1], right[0]):
             return left + right
         width = 1
         while True:
             a, b = max(0, len(left) - width), min(len(right), width)
-            window = self.leaf(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
+            window = self.window(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
             if (a == 0 or self.canonical(left[a - 1], window[0])) and (b == len(right) or self.canonical(window[-1], right[b])):
                 return left[:a] + window + right[b:]
             width *= 2
 
-    def encode_piece(self, data: bytes) -> list[int]:
-        if len(data) <= LEAF or data in self.ranks:
-            return self.leaf(data) if data else []
+    def tree(self, data: bytes) -> list[int]:
+        """Canonical tokens: those of the halves, joined; a leaf is one byte. Nodes of few
+        bytes are remembered."""
+        if (known := self._short.get(data)) is not None:
+            return known
+        if len(data) < 2:
+            return [self.ranks[data]] if data else []
         half = len(data) // 2
-        return self.join(self.encode_piece(data[:half]), self.encode_piece(data[half:]))
+        out = self.join(self.tree(data[:half]), self.tree(data[half:]))
+        if len(data) <= SHORT:
+            self._remember(data, out)
+        return out
+
+    def _remember(self, data: bytes, tokens: list[int]) -> None:
+        if len(self._short) >= CACHE_ENTRIES:
+            self._short.clear()
+        self._short[data] = tokens
+
+    def encode_piece(self, data: bytes) -> list[int]:
+        """A piece that is a token is that token; others go through the tree."""
+        return [self.ranks[data]] if data in self.ranks else self.tree(data)
 
     def decode(self, ids) -> bytes:
-        """Concatenates up the tree; a leaf is 65,536 tokens."""
-        if len(ids) <= 1 << 16:
-            return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Bytes of the tokens, concatenated up the tree: each level joins neighbours."""
+        parts = list(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        while len(parts) > 1:
+            last = parts[len(parts) & ~1 :]
+            parts = [*map(concat, parts[::2], parts[1::2]), *last]
+        return parts[0] if parts else b""
 
 
 class PieceCache(dict):
