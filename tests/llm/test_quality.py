@@ -1,7 +1,8 @@
 import random
 from collections import Counter
-from math import comb
+from math import comb, exp, fsum, log
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,10 +48,10 @@ def test_long_text(spark):
 
 @pytest.mark.parametrize("risk", [0.005, 0.05])
 def test_binomial_tail(spark, risk):
-    pairs = [(n, k) for n in (1, 5, 40, 300, 2000) for k in (0, 1, 2, 5, 9) if k <= n]
+    pairs = [(n, k) for n in (1, 5, 40, 300, 2000, 9000) for k in (0, 1, 2, 5, 9, 40) if k <= n]
     df = spark.createDataFrame(pairs, "n long, k long")
     for r in df.select("n", "k", quality.binomial_tail(F.col("n"), F.col("k"), risk).alias("p")).collect():
-        want = 1.0 if r.k > risk * r.n else sum(comb(r.n, i) * risk**i * (1 - risk) ** (r.n - i) for i in range(r.k + 1))
+        want = 1.0 if r.k > risk * r.n else fsum(exp(log(comb(r.n, i)) + i * log(risk) + (r.n - i) * log(1 - risk)) for i in range(r.k + 1))
         assert abs(r.p - want) < 1e-9 * max(want, 1e-3)
 
 
@@ -74,8 +75,76 @@ def test_cutoffs_reject_junk_with_enough_labels(spark, monkeypatch):
         assert all(r.kept for r in rows if r.doc_id >= 16_000)  # no labels there
 
 
+def test_some_220_good_labels_let_the_rules_act(spark):
+    for n, acts in ((140, False), (149, True)):  # one stratum: log(0.05) / log(0.98) is 148.3
+        df, labels = _corpus(spark, n, 0)
+        rows = quality.quality_rules(df, labels).collect()
+        assert all(r.kept for r in rows if r.doc_id < n)
+        assert any(r.kept for r in rows if n <= r.doc_id < n + 60) != acts
+
+
+def plain_step(signals):
+    """The last safe step for one stratum's good documents, of ``made`` strata."""
+
+    def step(some, made):
+        found = -1
+        for i in range(quality.STEPS):
+            k = sum(any(s[r] > cuts[i] for r, cuts in quality.LADDER.items()) for s in some)
+            n = len(some)
+            tail = sum(comb(n, j) * quality.RISK**j * (1 - quality.RISK) ** (n - j) for j in range(k + 1))
+            if tail > quality.ERROR / made:
+                break
+            found = i
+        return found
+
+    return {lang: step(some, len(signals)) for lang, some in signals.items()}
+
+
+def test_rules_that_act_against_brute_force(spark):
+    """At a size where every language has an active step."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = {r.doc_id: (r.text, r.lang, plain_counts(r.text)) for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+
+    def signal(text, counts):
+        n, chars, symbols, dups, repeated = counts
+        lines = sum(bool(x.strip(SPACE)) for x in (text or "").split("\n"))
+        return {"symbols_per_word": symbols / n if n else 0, "dup_line_share": dups / lines if lines else 0, "repeat_share": repeated / n if n else 0, "mean_word_chars": chars / n if n else 0}
+
+    failed = lambda c: c[0] < 10 or 100 * c[4] > 20 * c[0]
+    held = {}
+    for i in good & rows.keys():
+        text, lang, counts = rows[i]
+        if not failed(counts):
+            held.setdefault(lang, []).append(signal(text, counts))
+    steps = plain_step(held)
+    assert len(steps) >= 4 and min(steps.values()) >= 1
+    found = {r.doc_id: r.kept for r in quality.quality_rules(docs, labels).select("doc_id", "kept").collect()}
+    for i, (text, lang, counts) in rows.items():
+        at, s = steps.get(lang, -1), signal(text, counts)
+        assert found[i] == (not failed(counts) and not (at >= 0 and any(s[r] > cuts[at] for r, cuts in quality.LADDER.items()))), i
+    assert sum(not found[i] and not failed(rows[i][2]) for i in rows) > 100  # rules that reject
+
+
+def test_guarantee_by_simulation():
+    """However the signals of good documents are spread, the share of draws of labels after
+    which more than RISK of them would be rejected stays under ERROR."""
+    random_ = np.random.default_rng(5)
+    levels = np.array([0.0, 0.012, 0.03, 0.07, 0.15, 0.3, 0.7, 2.0])
+    for shares in ((0.97, 0.005, 0.005, 0.005, 0.005, 0.005, 0.0025, 0.0025), (0.979, 0.021, 0, 0, 0, 0, 0, 0), (0.978, 0, 0, 0.011, 0.011, 0, 0, 0)):
+        bad = 0
+        for _ in range(300):
+            drawn = random_.choice(levels, 600, p=np.array(shares) / sum(shares))
+            some = [{"symbols_per_word": s, "dup_line_share": 0, "repeat_share": 0, "mean_word_chars": 0} for s in drawn]
+            at = plain_step({"x": some})["x"]
+            lost = sum(p for v, p in zip(levels, shares) if at >= 0 and v > quality.LADDER["symbols_per_word"][at])
+            bad += lost > quality.RISK
+        assert bad <= 300 * quality.ERROR + 3 * (300 * quality.ERROR) ** 0.5
+
+
 def test_too_few_labels_reject_nothing(spark):
-    df, labels = _corpus(spark, 300, 0)
+    df, labels = _corpus(spark, 120, 0)
     assert all(r.kept for r in quality.quality_rules(df, labels).collect())
 
 

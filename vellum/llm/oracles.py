@@ -57,12 +57,11 @@ from c group by conv_id
 
 
 def _op8() -> str:
-    tests = [(r, c) for r, some in quality.CANDIDATES.items() for c in some]
-    risk = quality.RISK / len(quality.CANDIDATES)
+    ladder, risk = quality.LADDER, quality.RISK
     tail = f"list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln({1 - risk}))))"
-    counted = " union all ".join(f"select stratum, '{r}' as rule, {c} as cutoff, count(*) as n, count(*) filter (where {r} > {c}) as k from good group by stratum" for r, c in tests)
-    over = " or ".join(f"coalesce(v.{r} > c.{r}, false)" for r in quality.CANDIDATES)
-    pivoted = ", ".join(f"min(cutoff) filter (where rule = '{r}') as {r}" for r in quality.CANDIDATES)
+    some = lambda step: " or ".join(f"{r} > {cuts[step]}" for r, cuts in ladder.items())
+    counted = " union all ".join(f"select stratum, {i} as step, count(*) as n, count(*) filter (where {some(i)}) as k from good group by stratum" for i in range(quality.STEPS))
+    over = " or ".join(f"coalesce(v.{r} > {cuts}[c.steps], false)" for r, cuts in ladder.items())
     space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     return f"""
 with d as (select doc_id, coalesce(lang, chr(0)) as stratum, coalesce(text, '') as text from documents),
@@ -82,9 +81,9 @@ v as (
     coalesce(n_repeat_words / nullif(n_words, 0), 0) as repeat_share, coalesce(word_chars / nullif(n_words, 0), 0) as mean_word_chars from s),
 good as (select v.* from v join (select doc_id from labels group by doc_id having max(quality) = 1) l using (doc_id) where not base_failed),
 counted as ({counted}),
-made as (select count(distinct stratum) * {len(tests)} as m from counted),
-safe as (select * from counted, made where k <= {risk} * n and {tail} <= {quality.ERROR} / m),
-c as (select stratum, {pivoted} from safe group by stratum)
+made as (select count(distinct stratum) as m from counted),
+unsafe as (select * from counted, made where k > {risk} * n or {tail} > {quality.ERROR} / m),
+c as (select stratum, coalesce(min(unsafe.step), {quality.STEPS}) as steps from (select distinct stratum from counted) left join unsafe using (stratum) group by stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not ({over}) as kept
 from v left join c using (stratum)
 """

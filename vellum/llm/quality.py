@@ -1,12 +1,15 @@
 """Quality rules with risk-controlled thresholds, in DataFrame functions only.
 
-Each rule rejects documents whose signal lies above a cutoff. Cutoffs come from labelled
-holdouts: for each stratum (language) and rule the lowest candidate is taken whose share
-of false rejections (of documents of label 1) is, by the exact binomial bound, under
-RISK / number of rules, with the error ERROR shared out over all tests made (strata x
-candidates, Bonferroni). So with probability 1 - ERROR no stratum loses more than RISK
-of its good documents to the rules. Where labels are too few to show that, the rule stays
-idle and nothing is rejected.
+Each rule rejects documents whose signal lies above a cutoff. The cutoffs of all rules are
+chosen together, as a step of a ladder that grows stricter for every rule. For each
+stratum (language) a labelled holdout says how many good documents (label 1) a step would
+reject; the step is safe if by the exact binomial bound that share is under RISK. Steps
+are tested from the most lenient on and the last safe one before the first unsafe is
+taken; such a fixed order needs no correction inside a stratum, and ERROR is shared out
+over the strata (Bonferroni). So with probability 1 - ERROR no stratum loses more than
+RISK of its good documents to the rules. Where labels are too few to show that (under
+log(ERROR / strata) / log(1 - RISK) good ones, 217 for four languages), the rules stay
+idle and only the base rules reject.
 """
 
 from __future__ import annotations
@@ -17,13 +20,16 @@ from pyspark.sql import functions as F
 from .common import spread, stash
 
 RISK, ERROR = 0.02, 0.05
-#: Rule -> candidate cutoffs, lowest first.
-CANDIDATES: dict[str, list[float]] = {
-    "symbols_per_word": [0.01, 0.02, 0.05, 0.1, 0.2, 0.5, 1.0],
-    "dup_line_share": [0.05, 0.1, 0.2, 0.3, 0.5],
-    "repeat_share": [0.02, 0.05, 0.1, 0.15, 0.2],
-    "mean_word_chars": [8.0, 9.0, 10.0, 12.0, 15.0],
+#: Rule -> its cutoff at each step of the ladder, from lenient to strict.
+LADDER: dict[str, list[float]] = {
+    "symbols_per_word": [1.0, 0.5, 0.2, 0.1, 0.05, 0.02, 0.01],
+    "dup_line_share": [0.5, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05],
+    "repeat_share": [0.2, 0.2, 0.18, 0.15, 0.1, 0.05, 0.02],
+    "mean_word_chars": [15.0, 12.0, 10.0, 9.0, 8.5, 8.0, 7.5],
 }
+STEPS = 7
+#: Deviations below the k-th term of a binomial sum beyond which terms are nil.
+DEVIATIONS = 12
 #: The contract's own rules.
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN = 10, 20, 5
 #: Strata up to which the table of cutoffs is broadcast (some 100 bytes each).
@@ -96,11 +102,21 @@ def signal(rule: str, p: str = "__") -> Column:
     return F.coalesce(F.col(f"{p}{part}") / F.nullif(F.col(f"{p}{whole}"), F.lit(0)), F.lit(0.0))
 
 
+def log_gamma(x: Column) -> Column:
+    """Of x >= 1: Stirling's series at x + 8, and down from there."""
+    z = x + 8
+    series = (z - 0.5) * F.log(z) - z + F.lit(0.9189385332046727) + F.lit(1 / 12) / z - F.lit(1 / 360) / (z * z * z) + F.lit(1 / 1260) / F.pow(z, F.lit(5)) - F.lit(1 / 1680) / F.pow(z, F.lit(7))
+    for i in range(8):
+        series = series - F.log(x + i)
+    return series
+
+
 def binomial_tail(n: Column, k: Column, risk: float) -> Column:
     """P(X <= k) for X ~ Bin(n, risk); 1 where k > risk * n, which is never small. The
-    largest term comes from logarithms, the others from their ratios to it."""
+    largest term comes from logarithms, the others from their ratios to it, down to where
+    they are nil: their number grows with the root of n."""
     n, k = n.cast("double"), k.cast("long")
-    log_choose = F.when(k == 0, 0.0).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), k), F.lit(0.0), lambda a, j: a + F.log((n - k + j) / j)))
+    log_choose = log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
     top = log_choose + k * F.log(F.lit(risk)) + (n - k) * F.log(F.lit(1 - risk))
     start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
@@ -108,24 +124,27 @@ def binomial_tail(n: Column, k: Column, risk: float) -> Column:
         i = k - j
         return _let(a["t"] * i * (1 - risk) / ((n - i + 1) * risk), lambda t: F.struct(t.alias("t"), (a["s"] + t).alias("s")))
 
-    ratios = F.when(k == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), k - 1), start, add, lambda a: a["s"]))
+    terms = F.least(k, F.ceil(DEVIATIONS * F.sqrt(n * risk)) + 50)
+    ratios = F.when(k == 0, 1.0).otherwise(F.aggregate(F.sequence(F.lit(0).cast("long"), terms - 1), start, add, lambda a: a["s"]))
     return F.when(k > F.lit(risk) * n, F.lit(1.0)).otherwise(F.exp(top) * ratios)
 
 
 def cutoffs(signals: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, p: str = "__") -> DataFrame:
-    """One row for each stratum with an active rule: __stratum and a cutoff by rule
-    (null: idle). Label rows of one id count once, as good if any says so."""
+    """One row for each stratum with a safe step: __stratum and a cutoff by rule. Label
+    rows of one id count once, as good if any says so."""
     good = labels.groupBy(F.col("doc_id").alias("__label_id")).agg(F.max("quality").alias("__quality")).filter("__quality = 1")
-    rows = signals.filter(~base_failed(p)).select(F.col(id_col).alias("__label_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("__stratum"), *(signal(r, p).alias(r) for r in CANDIDATES))
-    tests = [(r, c) for r, some in CANDIDATES.items() for c in some]
-    counts = rows.join(good, "__label_id").groupBy("__stratum").agg(F.count("*").alias("n"), *(F.count(F.when(F.col(r) > c, 1)).alias(f"k{i}") for i, (r, c) in enumerate(tests)))
+    rows = signals.filter(~base_failed(p)).select(F.col(id_col).alias("__label_id"), F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0")).alias("__stratum"), *(signal(r, p).alias(r) for r in LADDER))
+    rejected = [F.greatest(*((F.col(r) > some[i]).cast("int") for r, some in LADDER.items())) for i in range(STEPS)]
+    counts = rows.join(good, "__label_id").groupBy("__stratum").agg(F.count("*").alias("n"), *(F.sum(x).alias(f"k{i}") for i, x in enumerate(rejected)))
     counts = stash(counts, "rejection_counts")
-    made = max(1, counts.count() * len(tests))
-    risk = RISK / len(CANDIDATES)
-    safe = [F.when(binomial_tail(F.col("n"), F.col(f"k{i}"), risk) <= ERROR / made, F.lit(c)) for i, (_, c) in enumerate(tests)]
-    least = {r: [s for s, (rule, _) in zip(safe, tests) if rule == r] for r in CANDIDATES}
-    chosen = counts.select("__stratum", *(F.least(*some).alias(f"__cut_{r}") for r, some in least.items()))
-    return stash(chosen.filter(F.coalesce(*(F.col(f"__cut_{r}") for r in CANDIDATES)).isNotNull()), "cutoffs")
+    error = ERROR / max(1, counts.count())
+    step, safe = F.lit(-1), F.lit(True)
+    for i in range(STEPS):
+        safe = safe & (binomial_tail(F.col("n"), F.col(f"k{i}"), RISK) <= error)
+        step = F.when(safe, i).otherwise(step)
+    steps = stash(counts.select("__stratum", step.alias("step")), "steps").filter("step >= 0")
+    at = lambda some: F.get(F.array(*map(F.lit, some)), F.col("step"))
+    return steps.select("__stratum", *(at(some).alias(f"__cut_{r}") for r, some in LADDER.items()))
 
 
 def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: list[str] | None = None) -> DataFrame:
@@ -140,22 +159,18 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     table of cutoffs has a row per stratum; over BROADCAST_STRATA it is joined by a
     shuffle instead of a broadcast.
 
-    Signals of rows without text are written once to the shared folder. Where the text is
-    carried they are computed twice instead, for a copy of all texts would cost more."""
+    Signals are computed once and written, with what is carried, to the shared folder: a
+    copy of the texts costs far less than their signals."""
     carry, df = df.columns if carry is None else carry, spread(df)
-    few = list(dict.fromkeys([id_col, stratum_col]))
+    few = list(dict.fromkeys([*carry, id_col, stratum_col]))
     counts = [f"__{c}" for c in (*COUNTS, "n_lines")]
-    if text_col in carry:
-        signals = with_signals(df.select(*dict.fromkeys([*carry, *few])), text_col)
-        cuts = cutoffs(with_signals(df.select(*dict.fromkeys([*few, text_col])), text_col).select(*few, *counts), labels, id_col, stratum_col)
-    else:
-        signals = stash(with_signals(df.select(*dict.fromkeys([*carry, *few, text_col])), text_col).select(*dict.fromkeys([*carry, *few]), *counts), "signals")
-        cuts = cutoffs(signals, labels, id_col, stratum_col)
+    signals = stash(with_signals(df.select(*dict.fromkeys([*few, text_col])), text_col).select(*few, *counts), "signals")
+    cuts = cutoffs(signals, labels, id_col, stratum_col)
     if cuts.count() <= BROADCAST_STRATA:
         cuts = F.broadcast(cuts)
     rows = signals.withColumn("__stratum", F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0"))).join(cuts, "__stratum", "left")
     over = F.lit(False)
-    for r in CANDIDATES:
+    for r in LADDER:
         over = over | F.coalesce(signal(r) > F.col(f"__cut_{r}"), F.lit(False))
     return rows.select(*carry, *(f"__{c}" for c in COUNTS), base_failed().alias("__base_failed"), (~base_failed() & ~over).alias("__kept"))
 
