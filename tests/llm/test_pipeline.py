@@ -2,14 +2,16 @@ import hashlib
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vellum.llm import langid
 
 from .test_bpe import LIBRARY
 from .test_decontaminate import plain_words
+from .test_langid import PlainCodes, plain_features
+from .test_nearcopies import plain_kept
 from .test_quality import plain_counts
-from .test_simhash import plain_components, plain_fingerprint
 
 
 def plain_pipeline(docs, items):
@@ -19,17 +21,10 @@ def plain_pipeline(docs, items):
         n, _, _, _, repeated = plain_counts(d[1])
         if n >= 10 and 100 * repeated <= 20 * n:
             kept.append(d)
-    teach = [d for d in kept if zlib.crc32(str(d[0]).encode()) % 4 != 2 and d[1] is not None and d[2] is not None]
-    names = sorted({d[2] for d in teach})
-    vectors = [(langid.features(d[1]), names.index(d[2])) for d in teach]
-    codes = langid.Codes(names, np.array([v.astype("<f2") for v, _ in vectors if v is not None], np.float32), np.array([i for v, i in vectors if v is not None]))
-    clear = []
-    for d in kept:
-        v = langid.features(d[1])
-        if v is not None and codes.decode(v[None])[2][0] >= langid.GAP:
-            clear.append(d)
-    marks = [plain_fingerprint(d[1]) for d in clear]
-    first = [clear[min(group, key=lambda i: clear[i][0])] for group in plain_components(marks)]
+    teach = [d[1:3] for d in kept if zlib.crc32(str(d[0]).encode()) % 4 != 2 and d[1] is not None and d[2] is not None]
+    codes = PlainCodes(teach)
+    clear = [d for d in kept if plain_features(d[1]) is not None and codes.predict(d[1])[2] >= langid.GAP]
+    first = [clear[min(group, key=lambda i: clear[i][0])] for group in plain_kept([d[:2] for d in clear])]
     windows = set()
     for _, text in items:
         w = plain_words(text)
@@ -61,6 +56,16 @@ def test_each_stage_keeps_the_columns_of_documents(spark, sf_dir):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf_dir).count() == 0
 
 
+def test_columns_of_any_name_ride_along(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(30)
+    for name in ("__kept", "__n_words", "__fp", "__spans", "__items", "__lang", "__at", "root", "a.b", "quality", "item_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, sf_dir)
+        assert found.columns == docs.columns
+        assert all(r["__kept"] == "__kept" and r["a.b"] == "a.b" for r in found.collect())
+
+
 def test_stages_on_odd_rows(spark, sf_dir):
     text = "some plain words of one text that are long enough to pass the rules of the first stage"
     rows = [(None, None, None, None, None, None), (None, text, None, None, None, "x"), (1, text, "en", "s", 5, None), (1, text, "en", "s", 5, None), (2, "", "en", "s", 0, "y"), (3, "word " * 200_000, "en", "s", 9, "z"), (4, " \n\t ", None, "s", 1, "")]
