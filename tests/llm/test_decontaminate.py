@@ -77,3 +77,11 @@ def test_kept_columns(spark):
 def test_spans_are_maximal_runs(spark):
     a, b = frames(spark, [(1, "x a b c y a b c a b c")], [(1, "a b c")])
     assert [tuple(s) for s in D.find_items(a, b).first().spans] == [(1, 4), (5, 11)]
+
+
+def test_a_window_of_very_many_items_is_cut_into_slices(spark, monkeypatch):
+    monkeypatch.setattr(D, "SLICE_WINDOWS", 40)
+    docs = spark.createDataFrame([(1, "x one shared window of seven words y"), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "one shared window of seven words") for i in range(300)], "item_id long, text string")
+    r = {r.doc_id: r for r in D.find_items(docs, items).collect()}
+    assert (r[1].n_items, r[1].n_hit, r[2].n_items) == (300, 6, 0) and list(r[1]["items"]) == sorted(map(str, range(300)))
