@@ -34,3 +34,13 @@ def test_documents(spark, monkeypatch):
         assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in rows) == want
         assert all(r.over_limit == (r.n_tokens > 4096) for r in rows) and any(r.over_limit for r in rows)
     assert tokencount.count_tokens(df.limit(0), MODEL).count() == 0
+
+
+def test_summaries_meet_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "FAN", 2)
+    df = spark.createDataFrame([(i, "common words here " * 20 + f"rare{i}") for i in range(60)], "doc_id long, text string").repartition(9)
+    found = tokencount.frequent(df, MODEL)
+    assert {" common", " words", " here"} <= set(found) and len(found) == 63
+    assert all(n == len(LIBRARY.encode("\n" + p)) - len(LIBRARY.encode("\n")) for p, n in found.items())
+    monkeypatch.setattr(tokencount, "TABLE_ENTRIES", 3)
+    assert set(tokencount.frequent(df, MODEL)) == {" common", " words", " here"}

@@ -2,8 +2,9 @@
 
 Tier one is a broadcast table of the lengths of frequent pre-tokens, of fixed greatest
 size; tier two encodes the others through a cache in each worker. Pre-tokens are never
-shuffled: each task summarises its own by a bounded heavy-hitter count, and only these
-summaries meet. The table changes the speed alone, never a count.
+shuffled: each task summarises its own by a bounded heavy-hitter count, one row, and only
+these rows meet, FAN of them at a time, until one is left. The table changes the speed
+alone, never a count.
 
 A SentencePiece model whose pieces hold the space mark only at their start, and no line
 feed, never merges across the start of a run of spaces or a line feed. So the tokens of
@@ -18,14 +19,15 @@ from collections import Counter
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import id_text, map_arrow, spread, texts_of
+from .common import id_text, map_arrow, spread, stash, texts_of
 
 #: Entries of the broadcast table, and the longest pre-token in it (characters).
 TABLE_ENTRIES, TABLE_LENGTH = 1 << 16, 32
 #: Pre-tokens that a task counts at a time, and those that it reports.
 TASK_COUNTERS, TASK_REPORTS = 1 << 18, 1 << 12
+#: Summaries that one task merges.
+FAN = 64
 #: Entries of a worker's cache.
 CACHE_ENTRIES = 1 << 19
 
@@ -68,6 +70,27 @@ def check_model(model: bytes) -> None:
         raise ValueError("the model's normaliser changes texts")
 
 
+def summary(seen: Counter[str], size: int) -> pa.RecordBatch:
+    """One row of the most frequent entries."""
+    top = [(p, c) for p, c in seen.most_common(size) if len(p) <= TABLE_LENGTH]
+    return pa.RecordBatch.from_arrays([pa.array([[p for p, _ in top]], pa.list_(pa.string())), pa.array([[c for _, c in top]], pa.list_(pa.int64()))], ["pieces", "counts"])
+
+
+def merged(summaries: DataFrame, tasks: int) -> DataFrame:
+    """The summaries added up in so many tasks, each keeping at most TASK_COUNTERS."""
+
+    def run(batches):
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for pieces, counts in zip(*batch.columns):
+                seen.update(dict(zip(pieces.as_py(), counts.as_py())))
+                if len(seen) > TASK_COUNTERS:
+                    seen = Counter(dict(seen.most_common(TASK_COUNTERS // 2)))
+        yield summary(seen, TABLE_ENTRIES)
+
+    return summaries.repartition(tasks).mapInArrow(run, "pieces array<string>, counts array<long>")
+
+
 def frequent(df: DataFrame, model: bytes) -> dict[str, int]:
     """Lengths of at most TABLE_ENTRIES frequent pre-tokens over all rows of ``text``.
     Each task keeps at most TASK_COUNTERS counters (the rarer half goes when full) and
@@ -80,12 +103,15 @@ def frequent(df: DataFrame, model: bytes) -> dict[str, int]:
                 seen.update(pre_tokens(text or ""))
                 if len(seen) > TASK_COUNTERS:
                     seen = Counter(dict(seen.most_common(TASK_COUNTERS // 2)))
-        top = [(p, c) for p, c in seen.most_common(TASK_REPORTS) if len(p) <= TABLE_LENGTH]
-        yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([c for _, c in top], pa.int64())], ["piece", "n"])
-
-    rows = df.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(TABLE_ENTRIES).collect()
-    lengths = Lengths(model, {})
-    return {r.piece: lengths[r.piece] for r in rows}
+        yield summary(seen, TASK_REPORTS)
+
+    found = stash(df.select("text").mapInArrow(run, "pieces array<string>, counts array<long>"), "summaries")
+    left = found.count()
+    while left > 1:
+        left = -(-left // FAN)
+        found = stash(merged(found, left), "summaries")
+    row, lengths = found.first(), Lengths(model, {})
+    return {piece: lengths[piece] for piece in row.pieces} if row else {}
 
 
 def count_tokens(df: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
