@@ -4,8 +4,9 @@ The 64 bits are split into six blocks. Three differing bits touch at most three
 so a linked pair agrees on some three of the six: each distinct fingerprint goes into 20
 buckets, one for each choice of three blocks (31 to 33 bits of key), and distances are
 verified inside buckets. Copies fall together before that, as one distinct fingerprint.
-A bucket yields links that span its linked groups, never all its pairs; one of over
-BUCKET fingerprints is solved by a distributed join on flipped bits, which is as exact.
+A bucket yields links that span its linked groups, never all its pairs. One of over BUCKET
+fingerprints is split the same way by its other bits: six blocks of those, three of which a
+linked pair agrees on as well. What then shares a bucket differs in 18 bits at most.
 """
 
 from __future__ import annotations
@@ -24,14 +25,17 @@ from .common import id_text, map_arrow, spread, stash
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
 BLOCKS, AGREE = 6, 3
-#: Fingerprints up to which a bucket is verified inside one task.
+#: Fingerprints up to which a bucket is verified as it is, without splitting it again.
 BUCKET = 4096
+#: Rows of one fingerprint from which its class is broadcast to them.
+HOT = 1_000_000
 
 
-def block_masks() -> list[int]:
-    """A mask of 64 bits for each choice of AGREE of the BLOCKS blocks."""
-    edges = [round(64 * i / BLOCKS) for i in range(BLOCKS + 1)]
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
+def block_masks(within: int = (1 << 64) - 1) -> list[int]:
+    """A mask for each choice of AGREE out of BLOCKS blocks of the bits of ``within``."""
+    places = [b for b in range(64) if within >> b & 1]
+    edges = [round(len(places) * i / BLOCKS) for i in range(BLOCKS + 1)]
+    blocks = [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:])]
     return [sum(some) for some in combinations(blocks, AGREE)]
 
 
@@ -105,25 +109,13 @@ def small_links(buckets: DataFrame) -> DataFrame:
     return map_arrow(buckets.select("fps"), make, "a long, b long")
 
 
-def large_links(members: DataFrame) -> DataFrame:
-    """Links among fingerprints of over-full buckets, without their pairs: two are within
-    three bits exactly if one with at most one bit flipped meets the other with at most
-    two flipped. All that meet a once-flipped one at a value are one group, so each links
-    to the least of those."""
-    bits = [signed(1 << i) for i in range(64)]
-    once = F.array(F.lit(0), *map(F.lit, bits))
-    fps = members.select("fp").distinct()
-    by_one = fps.select("fp", F.explode(once).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
-    # a second flip of a higher bit, so that each pair of bits comes once
-    second = F.explode(F.array(F.lit(-1), *map(F.lit, range(64))))
-    by_two = (
-        fps.select("fp", F.posexplode(once).alias("i", "m"))
-        .select("fp", "i", "m", second.alias("j"))
-        .filter((F.col("j") < 0) | ((F.col("i") > 0) & (F.col("j") > F.col("i") - 1)))
-        .select("fp", F.col("fp").bitwiseXOR(F.col("m")).bitwiseXOR(F.when(F.col("j") < 0, 0).otherwise(F.expr("shiftleft(1L, j)"))).alias("v"))
-    )
-    least = by_one.groupBy("v").agg(F.min("fp").alias("a"))
-    return by_two.join(least, "v").filter("a <> fp").select("a", F.col("fp").alias("b")).distinct()
+def split_buckets(members: DataFrame) -> DataFrame:
+    """Of the rows (t, fp) of over-full buckets: arrays ``fps`` of those that agree on three
+    blocks of the bits that mask t left open as well."""
+    masks = [[signed(m | n) for n in block_masks((1 << 64) - 1 & ~m)] for m in block_masks()]
+    own = F.element_at(F.array(*(F.array(*map(F.lit, some)) for some in masks)), F.col("t") + 1)
+    keys = members.select("t", "fp", F.posexplode(F.transform(own, lambda m: F.col("fp").bitwiseAND(m))).alias("n", "k"))
+    return keys.groupBy("t", "n", "k").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
 
 def links(distinct: DataFrame) -> DataFrame:
@@ -134,8 +126,9 @@ def links(distinct: DataFrame) -> DataFrame:
     sizes = stash(keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "block_sizes")
     small = keys.join(sizes.filter(F.col("n") <= BUCKET), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
     found = small_links(small)
-    if not sizes.filter(F.col("n") > BUCKET).isEmpty():
-        found = found.unionByName(large_links(keys.join(sizes.filter(F.col("n") > BUCKET), ["t", "k"], "left_semi")))
+    large = sizes.filter(F.col("n") > BUCKET)
+    if not large.isEmpty():
+        found = found.unionByName(small_links(split_buckets(keys.join(large, ["t", "k"], "left_semi"))))
     return found
 
 
@@ -163,14 +156,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def fingerprint_classes(marks: DataFrame) -> DataFrame:
-    """Of (doc_id, fp) rows: (fp, root, component_id), one row per distinct fingerprint;
-    root is the least fingerprint of its component."""
-    distinct = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    """Of (doc_id, fp) rows: (fp, root, component_id, copies), one row per distinct
+    fingerprint; root is the least fingerprint of its component, copies its rows."""
+    distinct = stash(marks.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "fingerprints")
     nodes = components(links(distinct)).withColumnRenamed("node", "fp")
     linked = stash(nodes.join(distinct, "fp"), "linked")
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(roots, "root").select("fp", "root", "component_id")
-    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"))
+    return distinct.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"), "copies")
+
+
+def with_classes(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """``marks`` joined to ``classes`` on fp. Classes of HOT rows or more, of which there are
+    few for the number of rows, are broadcast; so no fingerprint gathers in one task."""
+    hot = classes.filter(F.col("copies") >= HOT)
+    if hot.isEmpty():
+        return marks.join(classes, "fp")
+    rest = marks.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(classes, "fp")
+    return marks.join(F.broadcast(hot), "fp").unionByName(rest)
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,7 +186,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     an empty one; further columns are left out; texts of any length count whole."""
     rows = spread(id_text(df, id_col, text_col))
     marks = stash(with_fingerprints(rows, "text", "fp").select("doc_id", "fp"), "doc_fingerprints")
-    return marks.join(fingerprint_classes(marks), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = stash(fingerprint_classes(marks), "classes")
+    return with_classes(marks, classes).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_rooted(marked: DataFrame, marks: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
