@@ -1,4 +1,5 @@
 import gzip
+import zlib
 import hashlib
 import io
 
@@ -82,8 +83,12 @@ def test_files_are_whole_archives(spark, tmp_path):
     records = warc.with_revisits(warc.convert_archives(warc.pages_to_arcs(df)))
     warc.write_warcs(records, f"file://{tmp_path}/out")
     n = 0
-    for file in (tmp_path / "out").glob("*.gz"):
-        data = gzip.decompress(file.read_bytes())
+    for file in (tmp_path / "out").glob("part-*"):
+        raw = file.read_bytes()
+        data = gzip.decompress(raw)
+        first = zlib.decompressobj(31)
+        assert b"WARC-Type: warcinfo" in first.decompress(raw)  # the first member is that record alone
+        assert gzip.decompress(first.unused_data).startswith(b"WARC/1.1\r\nWARC-Type: re")
         at = 0
         while at < len(data):  # each record: head, declared bytes, two line ends
             assert data[at : at + 10] == b"WARC/1.1\r\n"
@@ -96,6 +101,20 @@ def test_files_are_whole_archives(spark, tmp_path):
     assert n == len(fixture())
 
 
+def test_archives_are_cut_by_bytes(spark, tmp_path, monkeypatch):
+    """A run of large pages fills more files; a larger page has one of its own."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 50_000)
+    monkeypatch.setattr(warc, "ARC_BYTES", 60_000)
+    rows = [(i, f"http://x/{i}", f"{i} " * (20_000 if i % 40 == 0 else 500 if i % 3 else 10)) for i in range(150)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arcs = warc.pages_to_arcs(df)
+    assert max(r.n for r in arcs.selectExpr("length(content) as n").collect()) < 110_000 and arcs.count() > 3
+    warc.write_warcs(warc.with_revisits(warc.convert_archives(arcs)), f"file://{tmp_path}/out")
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "out").glob("part-*")]
+    assert len(sizes) > 4 and sum(s > 52_000 for s in sizes) == 3  # pages 40, 80 and 120; page 0 is short
+    assert sorted((tuple(r)[:5] for r in warc.pages_through_archives(df).collect()), key=repr) == plain(rows)
+
+
 def test_archives_from_files(spark, tmp_path):
     (tmp_path / "a.arc").write_bytes(arc(1, RECORDS))
     (tmp_path / "b.arc.gz").write_bytes(gzip.compress(arc(2, RECORDS)))

@@ -2,8 +2,9 @@
 
 The version block names the fields of the header lines that follow it; each record is its
 line, then as many bytes as the line declares. A converted record gets an identifier, a
-date, a type and digests that say the same in WARC. Archives are written through Spark's
-own writer, so that they land whole in any store and a lost executor loses nothing.
+date, a type and digests that say the same in WARC. An archive is one value, of bounded
+size, its records gzip members of their own; archives are written through Spark's own
+writer, so that they land whole in any store and a lost executor loses nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,12 @@ ARC_FIELDS = {
 REVISIT_BYTES = 1000
 #: Rows up to which the table of repeated payloads is broadcast (some 60 bytes each).
 BROADCAST_ROWS = 200_000
-#: Bytes of payload in an archive file, which a reader holds as a whole.
-ARCHIVE_BYTES = 32 << 20
-#: Records of a page batch that make one ARC archive.
-ARC_RECORDS = 256
+#: Parts that the table of repeated payloads and its records are dealt to beyond that.
+SALT = 16
+#: Bytes of records after which a WARC file is full, which a reader holds as a whole.
+ARCHIVE_BYTES = 16 << 20
+#: Records and bytes of records after which an ARC archive is full.
+ARC_RECORDS, ARC_BYTES = 256, 8 << 20
 
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -189,23 +193,30 @@ def parse_warc(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def pages_to_arcs(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """ARC archives (column ``content``) of at most ARC_RECORDS pages, of either version
-    in turn. A null html is an empty payload, a null url ``unknown:``; a null id is left
-    out of the HTTP head."""
+    """ARC archives (column ``content``) of at most ARC_RECORDS pages and, but for a single
+    larger page, ARC_BYTES, of either version in turn. A null html is an empty payload, a
+    null url ``unknown:``; a null id is left out of the HTTP head."""
 
     def make():
         turn = [0]
 
+        def archive(records):
+            turn[0] += 1
+            return pa.RecordBatch.from_arrays([pa.array([write_arc(iter(records), 1 + turn[0] % 2)], pa.binary())], ["content"])
+
         def step(batch):
-            for at in range(0, batch.num_rows, ARC_RECORDS):
-                records = []
-                for page_id, url, html in zip(*(batch.column(i).slice(at, ARC_RECORDS) for i in range(3))):
-                    payload = (html.as_py() or "").encode()
-                    own = f"X-Page-Id: {page_id.as_py()}\r\n" if page_id.is_valid else ""
-                    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
-                    records.append((url.as_py() or "unknown:", "0.0.0.0", "20000101000000", "text/html", head.encode() + payload))
-                turn[0] += 1
-                yield pa.RecordBatch.from_arrays([pa.array([write_arc(iter(records), 1 + turn[0] % 2)], pa.binary())], ["content"])
+            records, size = [], 0
+            for page_id, url, html in zip(*(batch.column(i) for i in range(3))):
+                payload = (html.as_py() or "").encode()
+                own = f"X-Page-Id: {page_id.as_py()}\r\n" if page_id.is_valid else ""
+                head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{own}Content-Length: {len(payload)}\r\n\r\n"
+                if records and (len(records) >= ARC_RECORDS or size + len(payload) > ARC_BYTES):
+                    yield archive(records)
+                    records, size = [], 0
+                records.append((url.as_py() or "unknown:", "0.0.0.0", "20000101000000", "text/html", head.encode() + payload))
+                size += len(payload)
+            if records:
+                yield archive(records)
 
         return step
 
@@ -254,31 +265,47 @@ def with_revisits(records: DataFrame) -> DataFrame:
     groups = records.filter(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_sha1", "payload_bytes").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
     groups = stash(groups.filter("n > 1 and keeper is not null").drop("n"), "repeated_payloads")
     if groups.count() <= BROADCAST_ROWS:
-        groups = F.broadcast(groups)
-    joined = records.join(groups, ["payload_sha1", "payload_bytes"], "left")
+        joined = records.join(F.broadcast(groups), ["payload_sha1", "payload_bytes"], "left")
+    else:  # a payload of very many records is dealt to SALT tasks
+        parts = groups.select("*", F.explode(F.array(*map(F.lit, range(SALT)))).alias("salt"))
+        salted = records.withColumn("salt", F.pmod(F.xxhash64("page_id", "uri"), F.lit(SALT)).cast("int"))
+        joined = salted.join(parts, ["payload_sha1", "payload_bytes", "salt"], "left")
     refers = F.when(F.coalesce(F.col("page_id") < F.col("keeper"), F.lit(True)), F.col("keeper"))
     return joined.select(*records.columns, refers.alias("refers_to"))
 
 
 def write_warcs(records: DataFrame, path: str) -> None:
-    """Writes gzip WARC archives of some ARCHIVE_BYTES of payload. Each record is closed by
-    two line ends, which is what the text writer puts after each value."""
-    # the first record of a task's output says what the archive is
-    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: %s\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 18\r\n\r\nsoftware: vellum\r\n" % record_id(None, path.encode()).encode()
+    """Writes WARC archives, each with a warcinfo record first, full at ARCHIVE_BYTES (a
+    single larger record has one of its own). Each record is a gzip member. An archive is
+    one value of the text writer, which closes it by a zero byte: padding to gzip."""
+    fields = b"software: vellum\r\n"
 
     def run(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([info], pa.binary())], ["value"])
+        task, files = TaskContext.get().partitionId(), 0
+        out, size = [], 0
+
+        def member(record: bytes) -> bytes:
+            return gzip.compress(record + b"\r\n\r\n", 6, mtime=0)
+
+        def archive():
+            about = "WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: %s\r\nWARC-Date: 2000-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: %d\r\n\r\n" % (record_id(None, f"{path} {task} {files}".encode()), len(fields))
+            return pa.RecordBatch.from_arrays([pa.array([member(about.encode() + fields) + b"".join(out)], pa.binary())], ["value"])
+
         for batch in batches:
-            out = []
             for row in zip(*batch.columns):
                 r = {n: v.as_py() for n, v in zip(batch.schema.names, row)}
                 r["uri"] = r["uri"].decode("utf-8", "surrogateescape")
-                out.append(warc_record(r, r["page_id"], r["refers_to"]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                record = warc_record(r, r["page_id"], r["refers_to"])
+                if out and size + len(record) > ARCHIVE_BYTES:
+                    yield archive()
+                    out, size, files = [], 0, files + 1
+                out.append(member(record))
+                size += len(record)
+        if out:
+            yield archive()
 
-    mean = records.agg(F.avg("payload_bytes")).first()[0] or 1
     lines = records.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / max(1, mean)))).text(path)
+    lines.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_warcs(df: DataFrame) -> DataFrame:
