@@ -14,13 +14,18 @@ from pyspark.sql import types as T
 
 #: Rows that a worker's function sees at a time.
 SLICE = 1024
+#: Greatest input that is dealt to all cores by a shuffle.
+SPREAD = 1 << 30
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; where that
-    is unset (single-machine tests) a temporary one, which is then set."""
+    is unset a temporary one, which is then set, if driver and executors are one process.
+    On a cluster that would be a folder that executors do not see: an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = f"file://{tempfile.mkdtemp(prefix='vellum-shared-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -50,13 +55,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a small input to all cores: one whose files are so few that a scan
-    would leave three quarters of them idle. A larger one is left where it is read."""
+    """Deals the rows of a small input to all cores: one of at most SPREAD bytes whose files
+    are so few that a scan would leave three quarters of them idle. A larger one is left
+    where it is read."""
     session = df.sparkSession._jsparkSession
     cores = df.sparkSession.sparkContext.defaultParallelism
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-    return df.repartition(cores) if size < cores * session.sessionState().conf().filesMaxPartitionBytes() // 4 else df
+    return df.repartition(cores) if size < min(SPREAD, cores * session.sessionState().conf().filesMaxPartitionBytes() // 4) else df
 
 
 def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
