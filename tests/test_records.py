@@ -3,7 +3,7 @@ import pytest
 from vellum.errors import IllegalArgument
 from vellum.functions import records as R
 from vellum.functions.bloom import BloomFilter
-from vellum.functions.text import byte_text, count_text, duration_text
+from vellum.functions.text import duration_text
 
 
 def test_families():
@@ -55,6 +55,4 @@ def test_bloom():
 
 
 def test_texts():
-    assert [byte_text(n) for n in (0, 1024, 2048, 3 << 30)] == ["0 B", "1024 B", "2.00 KB", "3.00 GB"]
-    assert [count_text(n) for n in (5, 1500)] == ["5", "1.50 K"]
-    assert [duration_text(s) for s in (0.25, 5, 65, 3700)] == ["250.0 ms", "5.00 s", "1:05", "1:01:40"]
+    assert [duration_text(s) for s in (0.25, 5, 65, 3700)] == ["0:00:00.250000", "0:00:05", "0:01:05", "1:01:40"]

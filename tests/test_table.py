@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.errors import BadTarget, BrokenLink, DuplicateKeys, IllegalArgument, RangeOverlap
-from vellum.operators.stats import collect_table_stats, field_stats, print_table_stats, validate, view_table
+from vellum.operators.stats import collect_table_stats, field_stats, print_table_stats, stats_frame, validate, view_table
 from vellum.plans.table import Table, changes_between
 from vellum.sources.store import Store
 
@@ -150,7 +150,9 @@ def test_stats_checks_and_graph(store, spark):
     t = made(store).load_records(spark.range(60).withColumn("b", F.when(F.col("id") % 2 == 0, 1))).insert([{"id": 5, "b": 9}]).flush()
     stats, out = collect_table_stats(t), []
     print_table_stats(stats, out.append)
-    assert stats["partition"]["records"]["sum"] == 60 and stats["patch"] == {"changes": 1} and any("Layers" in x for x in out)
+    assert stats["partition"]["records"]["sum"] == 60 and stats["patch"] == {"changes": 1} and "table.records = 60" in out and any(x.startswith("partition.records[max] = ") for x in out)
+    frame = {(r.part, r.measure): r.value for r in stats_frame(spark, t).collect()}
+    assert frame["partition", "records[sum]"] == 60 and frame["patch", "changes"] == 1
     assert all(r.state in ("pass", "warn") for r in validate(t))
     assert [tuple(r)[:3] for r in field_stats(t).collect()] == [("b", "bc", 31)]
     assert view_table(t).count("shape=box") == stats["partition"]["count"]

@@ -40,13 +40,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None, out=p
         out(f"Database root: {movies.load_dataset(connection, given.args[0], out).node_id}")
     else:
         db, n = connection.load_database(given.args[0]), int(given.args[1]) if len(given.args) > 1 else 10
-        tagged = given.command == "most-tagged"
-        rows = (movies.most_tagged if tagged else movies.best_rated)(db, n).collect()
-        out("Rank  Tags  Movie (Year)" if tagged else "Rank  Rating  Movie (Year)")
-        for i, r in enumerate(rows, 1):
-            value = f"{r.tags:4d}" if tagged else f"{r.rating:6.3f}"
-            out(f"{i:3d}   {value}  {r.title} ({r.year or 'unknown'})")
-    out(f"Done in {duration_text(time.time() - began)}")
+        rows = (movies.most_tagged if given.command == "most-tagged" else movies.best_rated)(db, n).collect()
+        out("\t".join(rows[0].asDict()) if rows else "nothing found")
+        for r in rows:
+            out("\t".join("" if v is None else str(v) for v in r))
+    out(f"took {duration_text(time.time() - began)}")
     return 0
 
 

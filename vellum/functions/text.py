@@ -1,35 +1,16 @@
-"""Sizes, counts and durations for people; scalar expressions of the loaders."""
+"""Durations for people; scalar expressions of the loaders."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def unit_text(scale: float, units: list[str], n) -> str:
-    if n is None:
-        return "-"
-    for unit in units:
-        if abs(n) <= scale or unit == units[-1]:
-            return f"{n}{unit}" if isinstance(n, int) else f"{n:.2f}{unit}"
-        n = n / scale
-    return str(n)
-
-
-def byte_text(n) -> str:
-    return unit_text(1024, [" B", " KB", " MB", " GB", " TB", " PB"], n)
-
-
-def count_text(n) -> str:
-    return unit_text(1000, ["", " K", " M", " B", " T"], n)
-
-
 def duration_text(seconds: float) -> str:
-    if seconds < 1:
-        return f"{seconds * 1000:.1f} ms"
-    hours, rest = divmod(int(seconds), 3600)
-    minutes, whole = divmod(rest, 60)
-    return f"{hours}:{minutes:02d}:{whole:02d}" if hours else f"{minutes}:{whole:02d}" if minutes else f"{seconds:.2f} s"
+    """Hours, minutes and seconds to the millisecond."""
+    return str(timedelta(milliseconds=round(seconds * 1000)))
 
 
 def title_of(title: Column) -> Column:
