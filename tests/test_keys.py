@@ -100,3 +100,19 @@ def test_key_values():
     a, b = K.Key(b"\x01"), K.Key(b"\x01\x00")
     assert K.before(a, b) and K.after(b, a) and min(a, b) == a and max(a, b) == b
     assert K.Key.parse("0100") == b and b.hex() == "0100" and repr(b) == "Key('0100')" and len({b, K.Key.parse("0100")}) == 1
+
+
+def test_column_form_of_floats_and_sequences(spark):
+    import random
+    import struct
+
+    rnd = random.Random(5)
+    floats = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf, 0.1, 2.0, 1.9999999999999998]
+    floats += [x for x in (struct.unpack(">d", rnd.randbytes(8))[0] for _ in range(500)) if not math.isnan(x)]
+    floats += [2.0**k * f for k in range(-1060, 1023, 37) for f in (1, 1 - 2**-53, 1 + 2**-52)]
+    c = K.codec("float")
+    rows = spark.createDataFrame([(x,) for x in floats], "x double")
+    assert [(r.x, bytes(r.k)) for r in rows.select("x", c.column(rows.x).alias("k")).collect()] == [(x, c.encode(x)) for x in floats]
+    c, lists = K.codec(("seq", "integer")), [[1, 256, -1, 0], [7], []]
+    rows = spark.createDataFrame([(x,) for x in lists], "x array<long>")
+    assert [bytes(r.k) for r in rows.select(c.column(rows.x).alias("k")).collect()] == [c.encode(x) for x in lists]

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellum.errors import BadTarget, BrokenLink, DuplicateKeys, IllegalArgument, RangeOverlap
+from vellum.operators import index
 from vellum.operators.stats import collect_table_stats, field_stats, print_table_stats, stats_frame, validate, view_table
-from vellum.plans.table import Table, changes_between
+from vellum.plans.table import Table, _plain, changes_between
 from vellum.sources.store import Store
 
 
@@ -111,6 +112,30 @@ def test_pruning_reads_few_files(store, spark):
     assert "PushedFilters: [IsNotNull(id), GreaterThanOrEqual(id,105)" in t.scan(min_key=105, max_key=114)._jdf.queryExecution().toString()
 
 
+def test_ordered_scans_do_not_shuffle(store, spark, monkeypatch):
+    import vellum.plans.table as module
+
+    t = made(store, partition_limit=10).load_records(spark.range(195).select((F.col("id") * 7 % 195).alias("id"), F.lit(1).alias("a")))
+    n = len(t.list_partitions())
+    for options, want in (({}, range(195)), ({"reverse": True}, range(194, -1, -1)), ({"min_key": 33, "max_key": 150, "fields": ["a"]}, range(33, 151))):
+        df = t.scan(**options)
+        assert "Exchange" not in df._jdf.queryExecution().toString() and [r.id for r in df.collect()] == list(want)
+    assert t.scan().select(F.spark_partition_id().alias("p")).distinct().count() == n
+    monkeypatch.setattr(module, "ORDERED_PARTS", 3)
+    assert [r.id for r in t.scan().collect()] == list(range(195))
+
+
+def test_scattered_upserts_rewrite_what_they_touch(store, spark, monkeypatch):
+    import vellum.plans.table as module
+
+    monkeypatch.setattr(module, "LOOKUP_KEYS", 1)
+    t = made(store, partition_limit=4, fan_out=16).load_records(spark.range(1600).withColumn("a", F.lit(1)))
+    before = {p["id"] for p in t.list_partitions()}
+    u = t.insert(spark.range(0, 1600, 6).withColumn("a", F.lit(2)).filter("id % 4 = 0")).compact()
+    assert len(before) == 400 and len(before - {p["id"] for p in u.list_partitions()}) == 134
+    assert u.scan(ordered=False).agg(F.sum("a"), F.count("*")).first()[:] == (1600 + 134, 1600)
+
+
 def test_merge_touches_few_partitions(store, spark):
     t = made(store, partition_limit=10).load_records(spark.range(300).withColumn("a", F.lit(1)))
     before = {p["id"] for p in t.list_partitions()}
@@ -128,7 +153,6 @@ def test_large_merges_choose_partitions_by_key_order(store, spark, monkeypatch):
     import vellum.plans.table as module
 
     monkeypatch.setattr(module, "LOOKUP_KEYS", 1)
-    monkeypatch.setattr(module, "MERGE_RUNS", 2)
     t = made(store, partition_limit=10).load_records(spark.range(200).withColumn("a", F.lit(1)))
     u = t.insert([{"id": i, "a": 5} for i in (3, 50, 51, 120, 199, 500)]).delete([60, 61]).compact()
     assert {r.id for r in u.scan().filter("a = 5").collect()} == {3, 50, 51, 120, 199, 500} and u.count == 199 == u.scan().count()
@@ -143,9 +167,22 @@ def test_key_types(store, spark, config, key):
     lo, hi = want[5], want[15]
     assert [r["id"] for r in t.records(t.scan(min_key=lo, max_key=hi))] == want[5:16]
     assert sorted(r["id"] for r in t.records(t.read([want[3], want[20]]))) == sorted([want[3], want[20]])
+    parts = module_parts(t)
+    placed = {p: {_plain(r["id"]) for r in t.scan(ordered=False).filter(t._place(parts) == p).collect()} for p in range(len(parts))}
+    assert placed == {i: {_plain(r["id"]) for r in t.read_partition(p["id"]).collect()} for i, p in enumerate(parts)}
     assert all(r.state in ("pass", "warn") for r in validate(t))
 
 
+def module_parts(t):
+    return list(index.entries(t.store, t.root["data"]))
+
+
+def unsorted(store, spark, part):
+    path = store.new_data("parts") + "/" + "/".join(part["path"].split("/")[-2:])
+    spark.read.parquet(part["path"]).coalesce(1).sortWithinPartitions(F.desc("id")).write.parquet(path)
+    return path
+
+
 def test_stats_checks_and_graph(store, spark):
     t = made(store).load_records(spark.range(60).withColumn("b", F.when(F.col("id") % 2 == 0, 1))).insert([{"id": 5, "b": 9}]).flush()
     stats, out = collect_table_stats(t), []
@@ -156,6 +193,12 @@ def test_stats_checks_and_graph(store, spark):
     assert all(r.state in ("pass", "warn") for r in validate(t))
     assert [tuple(r)[:3] for r in field_stats(t).collect()] == [("b", "bc", 31)]
     assert view_table(t).count("shape=box") == stats["partition"]["count"]
+    # partitions written out of order, and with a wrong edge
+    parts = [dict(p) for p in module_parts(t)]
+    swapped = dict(parts[0], path=unsorted(store, spark, parts[0]))
+    moved = dict(parts[1], last=parts[1]["first"])
+    found = {r.message for r in validate(Table(store, "t", t.root | {"patch": None, "data": index.build_tree(store, 16, [swapped, moved])})) if r.state == "fail"}
+    assert found >= {"rows of a file are in key order", "first and last key are those of the rows"}
     broken = Table(store, "t", t.root | {"count": 3, "partition_limit": 2})
     assert {r.state for r in validate(broken)} >= {"fail"}
     assert validate(Table(store, "t", t.root | {"data": "gone"}))[0].state == "error"
@@ -249,7 +292,9 @@ def test_partition_like_and_job_groups(store, spark):
             assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "inner"
         assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") == "outer"
         df = t.partition_like(spark.range(50, 150))
-        assert df.select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg(F.max("id") - F.min("id")).count() == 10
+        placed = df.select(F.spark_partition_id().alias("p"), "id").collect()
+        assert [(r.p, r.id) for r in placed] == [(min(r.id // 10, 9), r.id) for r in placed] and len(placed) == 100
+        assert df.select(F.spark_partition_id().alias("p"), "id").groupBy("p").agg(F.max("id") - F.min("id")).count() == 5
 
 
 def test_whole_folders_are_one_path(store, spark):

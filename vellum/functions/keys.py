@@ -154,6 +154,20 @@ class FloatCodec(Codec):
         bits = bits if bits >= 0 else ~(bits + (1 << 63))
         return struct.unpack(">d", _as_long(bits))[0]
 
+    def column(self, value: Column) -> Column:
+        # bits by arithmetic: powers of two and products with them are exact
+        value = value.cast("double")
+        size = F.abs(value)
+        two = lambda n: F.pow(F.lit(2.0), n)
+        guess = F.floor(F.log2(size)).cast("int")  # may be off by one
+        lead = size / two(guess)
+        power = guess + F.when(lead >= 2, 1).when(lead < 1, -1).otherwise(0)
+        lead = size / two(power)
+        normal = (power + 1023).cast("long") * F.lit(1 << 52) + ((lead - 1) * two(F.lit(52))).cast("long")
+        small = (size * two(F.lit(537)) * two(F.lit(537))).cast("long")
+        bits = F.when(size == float("inf"), F.lit(0x7FF << 52)).when(size < 2.0**-1022, small).otherwise(normal)
+        return IntegerCodec().column(F.when(value < 0, -bits - 1).otherwise(bits))
+
     def rejects(self, value: Column) -> Column:
         return value.isNull() | F.isnan(value)
 
@@ -210,6 +224,10 @@ class SeqCodec(Codec):
     def decode(self, data: bytes) -> list:
         return [self.element.decode(unescape(x)) for x in bytes(data).split(b"\x00")] if data else []
 
+    def column(self, value: Column) -> Column:
+        parts = F.transform(value, lambda x: F.hex(_escape_column(self.element.column(x))))
+        return F.unhex(F.array_join(parts, "00"))
+
     def accepts(self, kind: T.DataType) -> bool:
         return isinstance(kind, T.ArrayType) and self.element.accepts(kind.elementType)
 

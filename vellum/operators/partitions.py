@@ -109,7 +109,7 @@ def describe(store, path: str, schema: T.StructType, codec: K.Codec, primary_key
     types = {f.name: f.dataType for f in schema}
     columns = sorted(c for c in schema.names if c != NIL)
     key = F.struct(*(F.col(f"`{k}`") for k in primary_key))
-    ordered = F.struct(*(_rankable(F.col(f"`{k}`"), types[k], c) for k, c in zip(primary_key, K.parts_of(codec))))
+    ordered = F.struct(*(rankable(F.col(f"`{k}`"), types[k], c) for k, c in zip(primary_key, K.parts_of(codec))))
     files = data.groupBy(PART, RUN, F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_size").alias("size"), F.count("*").alias("n"), F.min_by(key, ordered).alias("lo"), F.max_by(key, ordered).alias("hi"), F.min(ordered).alias("lo_r"), F.max(ordered).alias("hi_r"), *row_digest(columns, types))
     parts = files.groupBy(PART, RUN).agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min_by("lo", "lo_r").alias("lo"), F.max_by("hi", "hi_r").alias("hi"), F.sum(F.col("h1").cast("decimal(38,0)")).cast("string").alias("h1"), F.sum(F.col("h2").cast("decimal(38,0)")).cast("string").alias("h2"))
     out, found = [], parts.orderBy(PART).collect()
@@ -135,7 +135,7 @@ def folders(parts: list[dict]) -> list[list[str]]:
     return [[f] for f in whole] + ([rest] if rest else [])
 
 
-def _rankable(value: Column, kind: T.DataType, codec: K.Codec) -> Column:
+def rankable(value: Column, kind: T.DataType, codec: K.Codec) -> Column:
     """What min and max rank as the key's order does."""
     if not codec.descending:
         return value

@@ -15,6 +15,12 @@ def _now() -> str:
     return dt.datetime.now(dt.UTC).isoformat(timespec="microseconds")
 
 
+def _instant(at: dt.datetime | str) -> dt.datetime:
+    """An ISO text of any offset, or a datetime; without an offset it is UTC."""
+    at = dt.datetime.fromisoformat(at) if isinstance(at, str) else at
+    return at if at.tzinfo else at.replace(tzinfo=dt.UTC)
+
+
 class Connection:
     """Session and root folder; holds no state of its own."""
 
@@ -61,8 +67,8 @@ class Connection:
         if version is not None:
             refs = [r for r in refs if r["version"] == version]
         if at is not None:
-            at = at if isinstance(at, str) else (at if at.tzinfo else at.replace(tzinfo=dt.UTC)).astimezone(dt.UTC).isoformat(timespec="microseconds")
-            refs = [r for r in refs if r["committed_at"] <= at]
+            at = _instant(at)
+            refs = [r for r in refs if _instant(r["committed_at"]) <= at]
         if not refs or not refs[-1]["node_id"]:
             raise NoDatabaseVersion(f"no such version of {name!r}")
         return Database.load(self.store, refs[-1]["node_id"], name=name, version=refs[-1]["version"], committed_at=refs[-1]["committed_at"])

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import base64
 import bisect
 import json
+import math
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, replace
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,8 +23,10 @@ from ..operators.overlay import BROADCAST_CHANGES, later_wins, overlay, remove_t
 PATCH_LIMIT = 100_000
 #: Keys that are looked up one by one on the driver to choose files; more go by their range.
 LOOKUP_KEYS = 10_000
-#: Stretches of touched partitions that a merge keeps apart.
-MERGE_RUNS = 200
+#: Partitions that an ordered scan reads one by one, in key order; more are sorted by a
+#: range shuffle, for a plan with a branch for each would burden the driver.
+ORDERED_PARTS = 256
+PLACE = "__v_place"
 _KNOBS = ("primary_key", "lexicoder", "families", "fan_out", "partition_limit", "patch_limit", "bloom")
 _INNER = ("type", "count", "schemas", "data", "patch")
 _BY_TYPE = {T.LongType: "integer", T.IntegerType: "integer", T.ShortType: "integer", T.ByteType: "integer", T.StringType: "string", T.BinaryType: "bytes", T.DoubleType: "float", T.FloatType: "float", T.TimestampType: "instant", T.TimestampNTZType: "instant"}
@@ -140,6 +143,37 @@ class Table:
         self.codec.encode(value)  # says what is wrong with it
         return K.sort_token(self.codec, value)
 
+    def _place(self, parts: list[dict]) -> Column:
+        """The number of the partition into whose stretch of keys a row's key falls; what
+        lies before the first belongs to it. Two levels of some sqrt(n) first keys each, as
+        one literal, are compared with the key columns."""
+        if len(parts) < 2:
+            return F.lit(0)
+        codecs, kinds = K.parts_of(self.codec), [self.schema[k].dataType for k in self.primary_key]
+        firsts = []
+        for p in parts:
+            value = self.codec.decode(bytes.fromhex(p["first"]))
+            values = value if isinstance(self.codec, K.TupleCodec) else (value,)
+            firsts.append({f"k{i}": _json_value(v, t) for i, (v, t) in enumerate(zip(values, kinds))})
+        width = math.isqrt(len(firsts) - 1) + 1
+        groups = [firsts[i : i + width] for i in range(0, len(firsts), width)]
+        kind = T.ArrayType(T.StructType([T.StructField(f"k{i}", t) for i, t in enumerate(kinds)]))
+
+        def reached(edge: Column) -> Column:
+            out: Column = F.lit(True)
+            for i, (name, c) in reversed(list(enumerate(zip(self.primary_key, codecs)))):
+                key, at = F.col(f"`{name}`"), edge[f"k{i}"]
+                out = ((key < at) if c.descending else (key > at)) | ((key == at) & out)
+            return out
+
+        def passed(edges: Column) -> Column:
+            return F.size(F.filter(edges, reached))
+
+        heads = F.from_json(F.lit(json.dumps([g[0] for g in groups])), kind)
+        tails = F.from_json(F.lit(json.dumps(groups)), T.ArrayType(kind))
+        group = F.greatest(passed(heads), F.lit(1))
+        return F.greatest((group - 1) * width + passed(F.element_at(tails, group)) - 1, F.lit(0))
+
     def _edges(self, node: dict) -> tuple[tuple, tuple]:
         return tuple(K.sort_token(self.codec, self.codec.decode(bytes.fromhex(node[e]))) for e in ("first", "last"))
 
@@ -232,7 +266,8 @@ class Table:
         Only partitions that the range touches are read; where no change lies over them,
         offset and limit leave out whole partitions by their counts. With ``fields`` the
         key and these fields are returned, of records that have at least one of them.
-        ``ordered=False`` spares the sort where the order is of no use."""
+        ``ordered=False`` spares the sort where the order is of no use. Without changes,
+        offset and limit nothing is shuffled: each partition is a task, in key order."""
         chosen = self._chosen(fields)
         if not self.root["schemas"]:
             return self._shown(self._empty(chosen), with_nil)
@@ -248,6 +283,8 @@ class Table:
             changes = None if changes is None else changes.filter(bound)
         if changes is not None and needed is not None:
             changes = changes.select(*(f"`{c}`" for c in self.schema.names if c in needed), NIL, DEAD)
+        if ordered and changes is None and base is not None and not offset and limit is None and len(parts) <= ORDERED_PARTS:
+            return self._shown(self._projected(self._in_order(parts, needed, bound, reverse), chosen), with_nil)
         df = self._empty(chosen) if base is None and changes is None else overlay(base, changes, n, self.primary_key)
         df = self._projected(df, chosen)
         if ordered or offset or limit is not None:
@@ -258,6 +295,21 @@ class Table:
             df = df.limit(limit)
         return self._shown(df, with_nil)
 
+    def _in_order(self, parts: list[dict], columns: list[str] | None, bound: Column | None, reverse: bool) -> DataFrame:
+        """Stored rows in key order without a shuffle: a union keeps the order of its
+        branches, each of which is one partition, sorted within its task."""
+        branches = []
+        for p in reversed(parts) if reverse else parts:
+            df = self._stored([p], columns)
+            df = df if bound is None else df.filter(bound)
+            branches.append(df.coalesce(1).sortWithinPartitions(*self._order(reverse)))
+        # branches of one task each would be put into a single task; an empty one prevents it
+        none = self.store.spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in branches[0].schema))
+        out = none
+        for df in branches:
+            out = out.union(df)
+        return out
+
     @staticmethod
     def _shown(df: DataFrame, with_nil: bool) -> DataFrame:
         return df if with_nil else df.drop(NIL)
@@ -490,18 +542,17 @@ class Table:
         if not parts:
             alive = remove_tombstones(changes)
             return index.build_tree(self.store, self.root["fan_out"], [e for _, e in partitions.write_partitions(self.store, alive, codec, pk, limit, schema_id, self.root["bloom"])])
-        firsts = [self._edges(p)[0] for p in parts]
-        touched = self._touched(changes, n, firsts)
-        spans = _spans(touched, MERGE_RUNS)
-        rows, totals = self._span_rows(parts, firsts, spans, changes, n)
+        touched = self._touched(changes, n, parts)
+        spans = _spans(touched)
+        rows, totals = self._span_rows(parts, spans, changes, n)
         # a span that would be too small for a partition takes in a neighbour
         while len(parts) > 1 and any(0 < totals[i] < partitions.min_limit(limit) and not (a == 0 and b == len(parts) - 1) for i, (a, b) in enumerate(spans)):
             grown = []
             for i, (a, b) in enumerate(spans):
                 small = 0 < totals[i] < partitions.min_limit(limit)
                 grown += range(a - 1 if small and a else a, b + 2 if small and not a and b + 1 < len(parts) else b + 1)
-            spans = _spans(sorted(set(grown)), MERGE_RUNS)
-            rows, totals = self._span_rows(parts, firsts, spans, changes, n)
+            spans = _spans(sorted(set(grown)))
+            rows, totals = self._span_rows(parts, spans, changes, n)
         known = {p["id"]: p for p in parts}
         replaced: dict[str, list[dict]] = {}
         for a, b in spans:
@@ -510,37 +561,25 @@ class Table:
             replaced[parts[spans[run][0]]["id"]] = [*replaced[parts[spans[run][0]]["id"]], known.get(entry["id"], entry)]
         return index.update_tree(self.store, self.root["fan_out"], self.root["data"], replaced)
 
-    def _span_rows(self, parts, firsts, spans, changes, n) -> tuple[DataFrame, list[int]]:
+    def _span_rows(self, parts, spans, changes, n) -> tuple[DataFrame, list[int]]:
         """Visible rows of the spans with their number as RUN, and the rows of each."""
         base = self._stored([p for a, b in spans for p in parts[a : b + 1]])
         rows = overlay(base, changes, n, self.primary_key)
-        run = F.lit(0)
-        for i, (a, _) in enumerate(spans[1:], 1):
-            # keys before a span's first partition belong to the one before
-            edge = self.codec.decode(bytes.fromhex(parts[a]["first"]))
-            run = F.when(self._bounds(edge, None), F.lit(i)).otherwise(run)
-        rows = rows.withColumn(partitions.RUN, run)
+        runs = [0] * len(parts)
+        for i, (a, b) in enumerate(spans):
+            runs[a : b + 1] = [i] * (b + 1 - a)
+        numbers = F.from_json(F.lit(json.dumps(runs)), T.ArrayType(T.IntegerType()))
+        rows = rows.withColumn(partitions.RUN, F.get(numbers, self._place(parts)) if len(spans) > 1 else F.lit(0))
         counts = {r[0]: r[1] for r in rows.groupBy(partitions.RUN).agg(F.count("*")).collect()}
         return rows, [counts.get(i, 0) for i in range(len(spans))]
 
-    def _touched(self, changes: DataFrame, n: int, firsts: list[tuple]) -> list[int]:
+    def _touched(self, changes: DataFrame, n: int, parts: list[dict]) -> list[int]:
         """Numbers of the partitions into whose range changes fall."""
-        find = lambda token: max(0, bisect.bisect_right(firsts, token) - 1)
         values = self._keys_list(changes, n)
         if values is not None:
-            return sorted({find(self._token(v)) for v in values})
-        codec, pk = self.codec, self.primary_key
-        shared = self.store.spark.sparkContext.broadcast(firsts)  # a key for each partition
-
-        def run(batches):
-            seen = set()
-            for batch in batches:
-                for row in batch.to_pylist():
-                    seen.add(max(0, bisect.bisect_right(shared.value, K.sort_token(codec, partitions.key_values(codec, row, pk))) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], ["part"])
-
-        keys = changes.select(*(F.col(f"`{k}`").cast("timestamp").alias(k) if isinstance(self.schema[k].dataType, T.TimestampNTZType) else F.col(f"`{k}`") for k in pk))
-        return sorted(r.part for r in keys.mapInArrow(run, "part long").distinct().collect())
+            firsts = [self._edges(p)[0] for p in parts]
+            return sorted({max(0, bisect.bisect_right(firsts, self._token(v)) - 1) for v in values})
+        return sorted(r[0] for r in changes.select(self._place(parts).alias(PLACE)).distinct().collect())
 
     # -- bulk and partitions --------------------------------------------------------------
 
@@ -594,10 +633,12 @@ class Table:
         return not rows.groupBy(*(f"`{k}`" for k in self.primary_key)).count().filter("count > 1").isEmpty()
 
     def partition_like(self, df: DataFrame) -> DataFrame:
-        """``df`` range-partitioned and sorted by the key, in as many partitions as the
-        table has: what joins with a scan or is appended moves no further."""
-        n = max(1, sum(1 for _ in index.entries(self.store, self.root["data"])))
-        return df.repartitionByRange(n, *self._order()).sortWithinPartitions(*self._order())
+        """``df`` in as many partitions as the table has, cut at the table's own first keys
+        and sorted by the key: rows of the n-th fall into the range of the table's n-th."""
+        parts = list(index.entries(self.store, self.root["data"]))
+        keys = {k: F.col(f"`{k}`").cast(self.schema[k].dataType) for k in self.primary_key}
+        placed = df.withColumns(keys).withColumn(PLACE, self._place(parts))
+        return placed.repartitionById(max(1, len(parts)), PLACE).sortWithinPartitions(*self._order()).drop(PLACE)
 
     def list_partitions(self) -> list[dict]:
         return [{k: p[k] for k in ("id", "count", "size", "first", "last")} for p in index.entries(self.store, self.root["data"])]
@@ -627,15 +668,26 @@ def _plain(value):
     return bytes(value) if isinstance(value, bytearray) else value
 
 
-def _spans(numbers: list[int], most: int) -> list[tuple[int, int]]:
-    """Stretches of neighbours; if they are too many, the one from first to last."""
+def _json_value(value, kind: T.DataType):
+    """A key's value as Spark's JSON reader takes it for this type."""
+    if isinstance(kind, T.BinaryType):
+        return base64.b64encode(value).decode()
+    if isinstance(kind, T.ArrayType):
+        return [_json_value(v, kind.elementType) for v in value]
+    if isinstance(kind, T.TimestampNTZType):
+        return value.replace(tzinfo=None).isoformat(timespec="milliseconds")
+    return value.isoformat(timespec="milliseconds") if isinstance(kind, T.TimestampType) else value
+
+
+def _spans(numbers: list[int]) -> list[tuple[int, int]]:
+    """Stretches of neighbours."""
     out: list[tuple[int, int]] = []
     for n in numbers:
         if out and n == out[-1][1] + 1:
             out[-1] = (out[-1][0], n)
         else:
             out.append((n, n))
-    return out if len(out) <= most else [(numbers[0], numbers[-1])]
+    return out
 
 
 def changed_partitions(old: Table, new: Table) -> tuple[list[dict], list[dict]]:
