@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.keys import IntegerCodec
+from .functions.bloom import BloomFilter
+from .functions.keys import IntegerCodec, codec
 from .functions.records import SEQ
-from .operators.stats import collect_table_stats, field_stats, validate
+from .operators import index
+from .operators.stats import collect_table_stats, field_stats, results_frame, validate
 from .plans.connection import Connection, connect
 from .plans.table import Table, changes_between
+from .sources import movies
 from .sources.store import Store, fresh_root
 from .streaming.feeds import changes_since, upsert_stream
 
@@ -152,6 +155,38 @@ def key_encode_integer(spark, sf_dir):
     return rows_of(spark, sf_dir, "orders").select("o_orderkey", F.hex(IntegerCodec().column(F.col("o_orderkey"))).alias("key_hex"))
 
 
+#: The integer key of o_custkey and the escape of bytes, as DuckDB expressions.
+_CUST_HEX = "(case when o_custkey < 256 then '80' || lpad(printf('%X', o_custkey), 2, '0') when o_custkey < 65536 then '81' || lpad(printf('%X', o_custkey), 4, '0') else '82' || lpad(printf('%X', o_custkey), 6, '0') end)"
+_ESCAPED = "replace(replace(replace(regexp_replace({}, '(..)', '\\1 ', 'g'), '01 ', '01 02 '), '00 ', '01 01 '), ' ', '')"
+
+
+@query(f"select o_orderkey, hex(o_orderpriority) as text_hex, translate(hex(o_orderpriority), '0123456789ABCDEF', 'FEDCBA9876543210') as reverse_hex, hex(o_orderpriority) || '00' || {_ESCAPED.format(_CUST_HEX)} as tuple_hex, {_ESCAPED.format(_CUST_HEX)} || '00' || {_ESCAPED.format(_CUST_HEX)} as seq_hex from orders")
+def key_encode_composed(spark, sf_dir):
+    text, cust = F.col("o_orderpriority"), F.col("o_custkey")
+    return rows_of(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.hex(codec("string").column(text)).alias("text_hex"),
+        F.hex(codec(("reverse", "string")).column(text)).alias("reverse_hex"),
+        F.hex(codec(("tuple", "string", "integer")).columns([text, cust])).alias("tuple_hex"),
+        F.hex(codec(("seq", "integer")).column(F.array(cust, cust))).alias("seq_hex"),
+    )
+
+
+@query("select event_id, row_number() over (order by value - 50, event_id) as place from events where value is not null qualify place <= 500")
+def key_order_float(spark, sf_dir):
+    rows = rows_of(spark, sf_dir, "events").filter("value is not null").select("event_id", codec("float").column(F.col("value") - 50).alias("key"))
+    top = rows.orderBy("key", "event_id").limit(500)
+    return top.withColumn("place", F.row_number().over(Window.orderBy("key", "event_id"))).select("event_id", "place")
+
+
+@query("select n_nationkey, true as held from nation")
+def bloom_union(spark, sf_dir):
+    keys = {r.n_nationkey: codec("string").encode(r.n_name) for r in rows_of(spark, sf_dir, "nation").collect()}
+    even, odd = (BloomFilter.create(50).into(v for k, v in keys.items() if k % 2 == rest) for rest in (0, 1))
+    both = even.merge(odd)
+    return spark.createDataFrame([(k, v in both) for k, v in keys.items()], "n_nationkey long, held boolean")
+
+
 # -- writes, patches, merges ------------------------------------------------------------
 
 _PATCHED = "select o_orderkey, o_custkey, o_orderstatus, case when o_orderkey % 7 = 0 then 0.0 else o_totalprice end as o_totalprice, o_orderdate, o_orderpriority from orders where o_orderkey % 11 <> 0"
@@ -275,6 +310,13 @@ def diff_versions(spark, sf_dir):
     return changes_between(old, new.compact()).select("o_orderkey", "o_totalprice", "change")
 
 
+@query(ORACLES["diff_versions"])
+def diff_patched_versions(spark, sf_dir):
+    connection = _versions(spark, sf_dir)
+    old, new = (connection.open_db("shop", version=v).get_table("orders") for v in (2, 3))
+    return changes_between(old, new).select("o_orderkey", "o_totalprice", "change")
+
+
 @query("select count(*) as n, 'added' as change from orders where o_orderkey % 5 <> 0")
 def incremental_read(spark, sf_dir):
     connection = _versions(spark, sf_dir)
@@ -296,6 +338,26 @@ def list_tables(spark, sf_dir):
     return spark.createDataFrame([(t["name"], t["count"]) for t in found], "name string, records long")
 
 
+@query("select * from (values ('shop', 3), ('spare', 1)) t(name, version)")
+def list_databases(spark, sf_dir):
+    connection = _versions(spark, sf_dir)
+    for name in ("other", "sold", "spare", "sum"):
+        connection.create_db(name)
+    connection.drop_db("sold")
+    found = connection.list_dbs("s", limit=2)
+    return spark.createDataFrame([(r["name"], r["version"]) for r in found], "name string, version int")
+
+
+@query("select o_orderkey, 0.0 as o_totalprice from orders where o_orderkey % 2 = 1")
+def rename_update_drop_table(spark, sf_dir):
+    connection, rows = connect(spark, fresh_root(spark)), rows_of(spark, sf_dir, "orders").select("o_orderkey", F.lit(0.0).alias("o_totalprice"))
+    db = connection.create_db("shop").set_table("first", Table.new(connection.store, "first", primary_key="o_orderkey").load_records(rows)).create_table("gone")
+    db = db.rename_table("first", "orders").update_table("orders", Table.delete, rows.filter("o_orderkey % 2 = 0").select("o_orderkey")).drop_table("gone")
+    db = connection.load_database(connection.commit(db).node_id)
+    (only,) = db.list_tables()
+    return db.get_table(only["name"]).scan()
+
+
 # -- partitions, statistics, checks -----------------------------------------------------
 
 
@@ -311,6 +373,21 @@ def rebuild_partitions(spark, sf_dir):
     return table.rebuild([p["id"] for p in table.list_partitions()]).scan()
 
 
+@query("select * from orders order by o_orderkey limit (select greatest(1000, count(*) // 16) from orders)")
+def read_partition(spark, sf_dir):
+    table = orders(spark, sf_dir)
+    return table.read_partition(table.list_partitions()[0]["id"])
+
+
+@query("select count(*) as records, count(*) as in_place from orders")
+def partition_like(spark, sf_dir):
+    table = orders(spark, sf_dir)
+    edges = [(i, *(table.codec.decode(bytes.fromhex(p[e])) for e in ("first", "last"))) for i, p in enumerate(table.list_partitions())]
+    edges = spark.createDataFrame(edges, "part int, lo long, hi long")
+    placed = table.partition_like(rows_of(spark, sf_dir, "orders")).select(F.spark_partition_id().alias("part"), "o_orderkey")
+    return placed.join(edges, "part").agg(F.count("*").alias("records"), F.count_if(F.col("o_orderkey").between(F.col("lo"), F.col("hi"))).alias("in_place"))
+
+
 @query("select count(*) as records, min(o_orderkey) as first_key, max(o_orderkey) as last_key from orders")
 def table_stats(spark, sf_dir):
     table = orders(spark, sf_dir)
@@ -330,6 +407,16 @@ def validate_table(spark, sf_dir):
     return spark.createDataFrame([(len(failed),)], "failed long")
 
 
+@query("select * from (values ('count is the partitions'' sum', 1), ('first and last key are those of the rows', 1), ('rows are as many as counted', 1)) t(message, failed)")
+def validate_broken_table(spark, sf_dir):
+    table = orders(spark, sf_dir)
+    parts = list(index.entries(table.store, table.root["data"]))
+    parts[0] = parts[0] | {"count": parts[0]["count"] - 1}
+    parts[1] = parts[1] | {"last": parts[1]["first"]}
+    broken = Table(table.store, "orders", table.root | {"data": index.build_tree(table.store, table.root["fan_out"], parts)})
+    return results_frame(spark, validate(broken)).filter("state = 'fail'").groupBy("message").agg(F.count("*").cast("int").alias("failed"))
+
+
 # -- analytics on scans -----------------------------------------------------------------
 
 
@@ -346,6 +433,45 @@ def best_rated_like(spark, sf_dir):
     return scores.filter("n >= 5").select("user_id", (F.col("s") / F.col("n")).alias("r")).orderBy(F.desc("r"), "user_id").limit(10).select("user_id", F.round("r", 6).alias("rating"))
 
 
+# -- the example data set, of CSV files made from the test tables --------------------------
+
+_TITLES = "case when c_custkey % 3 = 0 then c_name else c_name || ' (' || (1950 + c_custkey % 70) || ')' end"
+
+
+def _csv(spark, sf_dir) -> str:
+    folder = fresh_root(spark, "csv")
+    customer, rows, events = (rows_of(spark, sf_dir, n) for n in ("customer", "orders", "events"))
+    files = {
+        "movies": customer.selectExpr("c_custkey as movieId", f"{_TITLES} as title", "case when c_custkey % 2 = 0 then 'Sci-Fi|Drama, Old|Sci-Fi' else '' end as genres"),
+        "links": customer.filter("c_custkey % 5 <> 0").selectExpr("c_custkey as movieId", "lpad(c_custkey, 7, '0') as imdbId", "case when c_custkey % 2 = 0 then c_custkey end as tmdbId"),
+        "tags": rows.selectExpr("o_orderkey as userId", "o_custkey as movieId", "o_orderpriority as tag", "o_orderkey as timestamp"),
+        "ratings": events.filter("value is not null").selectExpr("event_id as userId", "user_id as movieId", "value as rating", "event_id as timestamp"),
+    }
+    for name, df in files.items():
+        df.write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.csv")
+    return folder
+
+
+@query("select c_custkey as id, c_name as title, case when c_custkey % 3 <> 0 then 1950 + c_custkey % 70 end as year, case when c_custkey % 2 = 0 then 'sci_fi,drama_old' end as genres, case when c_custkey % 5 <> 0 then c_custkey end as imdb_id, case when c_custkey % 5 <> 0 and c_custkey % 2 = 0 then c_custkey end as tmdb_id from customer")
+def movie_records(spark, sf_dir):
+    found = movies.movie_records(spark, _csv(spark, sf_dir))
+    return found.withColumn("genres", F.nullif(F.array_join("genres", ","), F.lit("")))
+
+
+@query("select id, c_name as title, n as tags from (select o_custkey as id, count(distinct o_orderkey) as n from orders group by o_custkey order by n desc, id limit 10) join customer on c_custkey = id")
+def movies_most_tagged(spark, sf_dir):
+    db = movies.load_dataset(connect(spark, fresh_root(spark)), _csv(spark, sf_dir), out=lambda line: None)
+    return movies.most_tagged(db).select("id", "title", "tags")
+
+
+@query("select user_id as id, round(sum(value) / count(value), 6) as rating, epoch_us(to_timestamp(min(event_id))) as first_us from events where value is not null group by user_id having count(value) >= 5")
+def movies_rated(spark, sf_dir):
+    store = Store(spark, fresh_root(spark))
+    table = Table.new(store, "ratings", **movies.RATINGS).load_records(movies.rating_records(spark, _csv(spark, sf_dir)))
+    found = table.scan(ordered=False).groupBy(F.col("movie").alias("id")).agg(F.count("score").alias("n"), F.sum("score").alias("s"), F.unix_micros(F.min("time")).alias("first_us"))
+    return found.filter("n >= 5").select("id", F.round(F.col("s") / F.col("n"), 6).alias("rating"), "first_us")
+
+
 @query("select user_id, count(*) as n, max(value) as most from events group by user_id")
 def stream_upsert(spark, sf_dir):
     connection = connect(spark, fresh_root(spark))
