@@ -180,3 +180,43 @@ def test_better_than_base_on_held_out_documents(spark, sf_dir):
     rows = [r for r in lm.score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
     assert all(r.score <= 0 for r in rows)
+
+
+def test_rare_words_stand_for_themselves(spark, monkeypatch):
+    """Pairs of all words count by themselves, not those of a number of frequent words."""
+    random_ = random.Random(3)
+    after = {i: random_.sample(range(2000), 3) for i in range(2000)}
+
+    def text():
+        walk = [random_.randrange(2000)]
+        for _ in range(40):
+            walk.append(random_.choice(after[walk[-1]]))
+        return " ".join(f"w{i}" for i in walk)
+
+    docs = [(i, text()) for i in range(200)] + [(203, "w1 unseen w2 never"), (None, None)]
+    monkeypatch.setattr(lm, "FREQUENT", 50)
+    one, two = counted(docs)
+    n, v = sum(one.values()), len(one)
+
+    def p(past, w):
+        return (two[past, w] + lm.MU * (one[w] + 1) / (n + v + 1)) / (one[past] + lm.FALSE * v + lm.MU)
+
+    want = sorted((d or -1, sum(math.log10(p(a, w)) for a, w in zip([b"\n", *tokens(x)], tokens(x)))) for d, x in docs)
+    for size in (lm.SLICE_BYTES, 3000):
+        monkeypatch.setattr(lm, "SLICE_BYTES", size)
+        got = sorted((r.doc_id or -1, r.score) for r in lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+        off = [abs(g[1] - w[1]) for g, w in zip(got, want)]
+        assert max(off) < 2 and sum(off) < 0.01 * n
+
+
+def test_a_larger_vocabulary_does_not_drown_contexts():
+    for v in (0, 1, 10**5, 10**6, 10**7, 10**10):
+        first = lm.first_words(v, lm.MU)
+        assert first >= lm.FIRST and lm.FALSE * lm.FALSER ** (first - lm.FIRST) * v <= lm.ROOM * lm.MU
+    random_ = np.random.default_rng(5)
+    keys = np.unique(random_.integers(0, 1 << 63, 20_000, dtype=np.uint64))
+    content = lm.build_block(keys, np.ones(len(keys), np.int64), 4)
+    filter_ = lm.Filter(8, 0, 255, [(b, content) for b in range(256)], 256 * len(content), 4)
+    assert (filter_.levels(keys) >= 1).all()
+    wrong = (filter_.levels(random_.integers(0, 1 << 63, 4_000_000, dtype=np.uint64)) > 0).sum()
+    assert wrong < 4 * 4_000_000 * lm.FALSE * lm.FALSER

@@ -3,26 +3,31 @@
 Counts of words, and of words after others, over all training documents are quantised to
 levels (exact up to EXACT, then steps of a logarithm); a sequence of level q is put into the
 filter as (sequence, 1) to (sequence, q). Probing (sequence, 1), (sequence, 2), ... until a
-miss gives its level back, and from levels come smoothed probabilities. As contexts, and as
-what follows them, the OWN most frequent words stand for themselves and others for one of
-CLASSES classes by hash:
+miss gives its level back, and from levels come smoothed probabilities:
 
     p(w)     = (c(w) + 1) / (sum of c over all words + V + 1)
-    p(w | h) = (c(h' w') c(w) / c(w') + MU p(w)) / (n(h') + E + MU)
+    p(w | h) = (c(h w) + MU p(w)) / (n(h) + E + MU)
 
-with h', w' the class of a word or the word itself (its share c(w) / c(w') is then 1), c what
-a level stands for, n an exact total, and E what false hits add to a context's sum: FALSE for
-each word and class of its own. An unseen word is one more outcome of count zero. So p sums
-to 1 but for the quantising of counts over EXACT, however large the vocabulary.
+with c what a level stands for, n an exact total, and E what false hits add to a context's
+sum: their rate for each word. An unseen word is one more outcome of count zero. So p sums
+to 1 but for the quantising of counts over EXACT; a larger vocabulary lowers the rate, by
+more ones for each sequence, so that E stays under a share of MU.
+
+Each word stands for itself, as a context and after others. Only if OWN is set do the OWN most
+frequent words alone; the others then stand for one of a few classes by hash, h' and w', with
+c(h' w') c(w) / c(w') for c(h w) and n(h') for n(h): a smaller filter, but no pair of theirs
+is counted by itself.
 
 The filter is cut into blocks by hash, so each block is counted and built by one task and
 nothing meets at one place. What bears on a word, alone or after others, lies in the range
 of blocks of its hash's first bits; so a slice of the filter, some whole ranges of at most
 SLICE_BYTES in all, scores its words on its own, and slices, each a broadcast and a pass
-over the documents, add up. A larger filter means more slices, never a sparser filter.
+over the documents, add up. A larger filter means more slices, never a sparser filter. What
+p divides by bears on the word before, and each token of a text is before one other (the end
+before the first); so it is taken from the score token by token, from exact counts.
 
-The exact base score needs exact counts: those of the FREQUENT most frequent words are
-broadcast; other words are joined to their counts by a shuffle.
+The exact base score needs exact counts as well: those of the FREQUENT most frequent words
+are broadcast; other words are joined to their counts by a shuffle.
 """
 
 from __future__ import annotations
@@ -49,13 +54,16 @@ LEVELS = 288
 #: Share of ones that a block of the filter is sized for; words of it that hold level one of a
 #: sequence, ones in each of them, and ones for each further level.
 FILL, FIRST, FIRST_BITS, NEXT_BITS = 0.5, 3, 6, 8
-#: How often a sequence that is not there reads as level one.
-FALSE = 2.0**-15
+#: How often a sequence that is not there reads as level one, by what factor a further word of
+#: its level one lowers that, and the share of MU that E may reach.
+FALSE, FALSER, ROOM = 2.0**-15, 2.0**-5, 0.5
 #: Greatest slice of the filter that is broadcast at a time.
 SLICE_BYTES = 96 << 20
-#: Words whose exact counts are broadcast (some 30 bytes each), those of them that are
-#: contexts of their own, and the first bits of a hash that are the class of the others.
-FREQUENT, OWN, CLASS_BITS = 1 << 17, 1 << 16, 8
+#: Words whose exact counts are broadcast (some 30 bytes each), and the first bits of a hash
+#: that tell its range of blocks.
+FREQUENT, CLASS_BITS = 1 << 17, 8
+#: Frequent words that stand for themselves, others for the class of their range; None: all do.
+OWN: int | None = None
 #: Tokens for each block of the filter; counts that the one-word estimate weighs.
 BLOCK_TOKENS, MU = 1 << 19, 16.0
 #: Tokens after which a task passes on its sequences, those it works on at a time, and the
@@ -184,7 +192,7 @@ def sequence_blobs(train: DataFrame, block_bits: int, shared: Broadcast) -> Data
                 if len(flat) >= STEP or i == batch.num_rows - 1:
                     numbers = words.numbers(flat)
                     h = words.hashes[numbers]
-                    k = classes(h, numbers < frequent.own)
+                    k = frequent.kinds(h, numbers)
                     held += [h, pair_keys(h, shifted(k, np.array(starts), end), k)]
                     n += len(flat)
                     flat, starts = [], []
@@ -226,25 +234,30 @@ def spot(keys: np.ndarray, salt: int, words: np.ndarray, bits: int) -> tuple[np.
     return ((h >> U(32)) * words >> U(32)).astype(np.int64), masks(bits)[(h & U(0xFFFF)).astype(np.int64)]
 
 
-def build_block(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """The filter's block over distinct keys, as 64-bit words."""
+def first_words(distinct: int, mu: float) -> int:
+    """Words of the filter that hold level one of a sequence, so that E is small."""
+    return FIRST + max(0, ceil(log2(max(1.0, FALSE * distinct / (ROOM * mu))) / -log2(FALSER)))
+
+
+def build_block(keys: np.ndarray, counts: np.ndarray, first: int = FIRST) -> bytes:
+    """The filter's block over distinct keys, as 64-bit words; ``first`` hold level one."""
     levels = level_of(counts)
-    ones = len(keys) * FIRST * FIRST_BITS + int((levels - 1).sum()) * NEXT_BITS
+    ones = len(keys) * first * FIRST_BITS + int((levels - 1).sum()) * NEXT_BITS
     words = np.zeros(max(1, ceil(-ones / np.log(1 - FILL) / 64)), U)
 
     def put(salt: int, bits: int) -> None:
         at, mask = spot(keys, salt, U(len(words)), bits)
         np.bitwise_or.at(words, at, mask)
 
-    for part in range(FIRST):
+    for part in range(first):
         put(part, FIRST_BITS)
     for level in range(2, int(levels.max()) + 1):
         keys, levels = keys[levels >= level], levels[levels >= level]
-        put(FIRST + level, NEXT_BITS)
+        put(first + level, NEXT_BITS)
     return words.tobytes()
 
 
-def build_blocks(blobs: DataFrame) -> DataFrame:
+def build_blocks(blobs: DataFrame, first: int = FIRST) -> DataFrame:
     """(block, content); a block's blobs come to one task, which holds one block."""
 
     def run(batches):
@@ -255,7 +268,7 @@ def build_blocks(blobs: DataFrame) -> DataFrame:
             order = np.argsort(keys)
             keys, weights = keys[order], weights[order]
             new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            content = build_block(keys[new], np.add.reduceat(weights, new))
+            content = build_block(keys[new], np.add.reduceat(weights, new), first)
             yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([content], pa.binary())], ["block", "content"])
 
         for batch in batches:
@@ -277,9 +290,9 @@ def build_blocks(blobs: DataFrame) -> DataFrame:
 class Filter:
     """Blocks ``low`` to ``high`` of the filter; keys of other blocks read as level 0."""
 
-    def __init__(self, block_bits: int, low: int, high: int, blocks: Iterable[tuple[int, bytes]], size: int):
+    def __init__(self, block_bits: int, low: int, high: int, blocks: Iterable[tuple[int, bytes]], size: int, first: int = FIRST):
         """blocks: (block, content), of ``size`` bytes of content in all."""
-        self.shift, self.low = U(64 - block_bits), low
+        self.shift, self.low, self.first = U(64 - block_bits), low, first
         self.start, self.words = np.zeros(high - low + 1, np.int64), np.zeros(high - low + 1, U)
         self.content, at = np.zeros(size // 8, U), 0
         for block, content in blocks:
@@ -304,7 +317,7 @@ class Filter:
             if not hit.all():
                 alive, keys, start, words = alive[hit], keys[hit], start[hit], words[hit]
 
-        for part in range(FIRST):
+        for part in range(self.first):
             probe(part, FIRST_BITS)
         level = 1
         while len(alive):
@@ -312,7 +325,7 @@ class Filter:
             if level == LEVELS:
                 break
             level += 1
-            probe(FIRST + level, NEXT_BITS)
+            probe(self.first + level, NEXT_BITS)
         return out[back]
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
@@ -332,14 +345,22 @@ class Frequent:
         self.blob = b" ".join(words[i] for i in order)  # no word holds a space
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(words[i]) for i in order), U, len(order))
         self.counts = np.array([counts[i] for i in order], float)
-        self.own = min(OWN, len(order))
+        self.whole = OWN is None  # no word stands for a class
+        self.own = len(order) if self.whole else min(OWN, len(order))
 
     def words(self) -> list[bytes]:
         return self.blob.split(b" ") if self.blob else []
 
+    def kinds(self, hashes: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """What the words of these hashes and numbers stand for."""
+        return hashes if self.whole else classes(hashes, numbers < self.own)
+
+    def end_number(self) -> int:
+        """Number of the end, or one past all."""
+        return int(np.append(np.flatnonzero(self.hashes == end_hash()), len(self.hashes))[0])
+
     def end_class(self) -> np.uint64:
-        end = np.array([end_hash()])
-        return classes(end, np.isin(end, self.hashes[: self.own]))[0]
+        return self.kinds(np.array([end_hash()]), np.array([self.end_number()]))[0]
 
 
 def frequent_words(counts: DataFrame) -> Frequent:
@@ -381,7 +402,7 @@ def class_sums(counts: DataFrame, shared: Broadcast) -> tuple[np.ndarray, np.nda
 
 class Model(NamedTuple):
     """What a pass scores by: a slice of the filter, the frequent words, the totals of the
-    classes and the sums of their words' estimates, all tokens and distinct words of the
+    classes and the sums of their words' estimates (both empty without classes), all tokens and distinct words of the
     training texts, the sum over all words, and the weight of the one-word estimate."""
 
     filter: Filter
@@ -394,15 +415,27 @@ class Model(NamedTuple):
     mu: float
 
     def false_mass(self) -> float:
-        return FALSE * (self.frequent.own + len(self.class_totals))
+        kinds = self.frequent.own + len(self.class_totals) if len(self.class_totals) else self.distinct
+        return FALSE * FALSER ** (self.filter.first - FIRST) * kinds
 
 
-def smoothed(word: np.ndarray, share: np.ndarray, past: np.ndarray, now: np.ndarray, both: np.ndarray, model: Model) -> np.ndarray:
-    """p of words, from their counts, their shares of their classes, the totals of the
-    classes before and of their own, and the counts of both together."""
+def weight(word: np.ndarray, share: np.ndarray, past: np.ndarray, now: np.ndarray, both: np.ndarray, model: Model) -> np.ndarray:
+    """What p divides, over MU: from the words' counts, their shares of their classes, the
+    totals of the classes before (infinite if not at hand) and of their own, and the counts
+    of both together."""
     alone = (word + 1) / (model.mass + model.distinct + 1)
-    credit = np.minimum(both, np.minimum(now, past)) * share
-    return (credit + model.mu * alone) / (past + np.where(past > 0, model.false_mass(), 0.0) + model.mu)
+    return np.minimum(both, np.minimum(now, past)) * share / model.mu + alone
+
+
+def room(past: np.ndarray, model: Model) -> np.ndarray:
+    """What p divides by, over MU, from the total of the class before. (Without a total
+    nothing after it is in the filter, and a pass that knows that gives no credit.)"""
+    return 1 + (past + np.where(past > 0, model.false_mass(), 0.0)) / model.mu
+
+
+def smoothed(word: np.ndarray, share: np.ndarray, past: np.ndarray, now: np.ndarray, both: np.ndarray, model: Model) -> np.ndarray:
+    """p of words."""
+    return weight(word, share, past, now, both, model) / room(past, model)
 
 
 #: Columns of the first pass: a row for each document, and one for each of its rare words.
@@ -421,8 +454,13 @@ def _pass(docs: DataFrame, shared: Broadcast, first: bool) -> DataFrame:
         words, end = Words(frequent.words(), frequent.hashes), frequent.end_class()
         base, own, level = np.log10(frequent.counts + 1), frequent.own, np.full(len(frequent.counts), -1)
         row = TaskContext.get().partitionId() << 40
-        at_end = np.flatnonzero(frequent.hashes[:own] == end_hash())
-        total_end = frequent.counts[at_end[0]] if len(at_end) else model.class_totals[int(end_hash() >> U(64 - CLASS_BITS))]
+
+        def totals_of(hashes):
+            """Totals of words that do not stand for themselves by the broadcast counts."""
+            return np.full(len(hashes), np.inf) if frequent.whole else model.class_totals[(hashes >> U(64 - CLASS_BITS)).astype(np.int64)]
+
+        total = np.concatenate((frequent.counts[:own], totals_of(frequent.hashes[own:])))
+        total_end = np.append(total, totals_of(np.array([end_hash()])))[frequent.end_number()]
 
         def rows(n: int, id_type: pa.DataType, **columns):
             arrays = [pa.nulls(n, t or id_type) if c not in columns else columns[c] if t is None else pa.array(columns[c], t) for c, t in _STATE.items()]
@@ -438,26 +476,29 @@ def _pass(docs: DataFrame, shared: Broadcast, first: bool) -> DataFrame:
                     lengths.append(len(more))
                 if len(words) >= words.given + WORD_FLUSH:
                     words.forget()
-                    base, level = base[: words.given], level[: words.given]
+                    base, level, total = base[: words.given], level[: words.given], total[: words.given]
                 numbers = words.numbers(flat)
                 if (new := len(words.list) - len(base)) > 0:
                     base, level = np.concatenate((base, np.full(new, np.nan))), np.concatenate((level, np.full(new, -1)))
+                    total = np.concatenate((total, totals_of(words.hashes[-new:])))
                 hashes, n = words.hashes[numbers], np.array(lengths)
                 starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-                alone, kind = numbers >= own, (hashes >> U(64 - CLASS_BITS)).astype(np.int64)
-                now = model.class_totals[kind]
-                now[~alone] = frequent.counts[numbers[~alone]]
-                past, k = shifted(now, starts, total_end), classes(hashes, ~alone)
-                before = shifted(k, starts, end)
+                now, k = total[numbers], frequent.kinds(hashes, numbers)
+                past, before = shifted(now, starts, total_end), shifted(k, starts, end)
                 here = np.flatnonzero(filter_.holds(hashes))  # other words are another slice's
                 some, h = numbers[here], hashes[here]
                 unknown = np.unique(some[level[some] < 0])
                 level[unknown] = filter_.levels(words.hashes[unknown])
                 word = count[level[some]]
-                share = np.where(alone[here], word / np.maximum(1, model.class_mass[kind[here]]), 1.0)
+                share, most = 1.0, np.where(np.isinf(now[here]), word, now[here])
+                if not frequent.whole:
+                    mass = model.class_mass[(h >> U(64 - CLASS_BITS)).astype(np.int64)]
+                    share = np.where(some >= own, word / np.maximum(1, mass), 1.0)
                 both = count[filter_.levels(pair_keys(h, before[here], k[here]))]
                 p = np.zeros(len(numbers))
-                p[here] = np.log10(smoothed(word, share, past[here], now[here], both, model))
+                p[here] = np.log10(weight(word, share, past[here], most, both, model))
+                if first:
+                    p -= np.log10(room(np.where(np.isinf(now), 0, now), model))
                 score = np.add.reduceat(p, starts)
                 at = batch.column(2).slice(done, len(n)).to_numpy() if counted else row + np.arange(len(n))
                 if not first:
@@ -517,8 +558,11 @@ def _scored(rows: DataFrame, folds: int, held: int, mu: float) -> DataFrame:
     frequent = frequent_words(counts)
     known = context.broadcast(frequent)
     totals, masses, mass = class_sums(counts, known)
+    if frequent.whole:
+        totals = masses = np.zeros(0)
+    first = first_words(distinct, mu)
     block_bits = CLASS_BITS + max(0, ceil(log2(max(1, total) / BLOCK_TOKENS)) - CLASS_BITS)
-    blocks = stash(build_blocks(sequence_blobs(train, block_bits, known)), "filter_blocks")
+    blocks = stash(build_blocks(sequence_blobs(train, block_bits, known), first), "filter_blocks")
     known.destroy()
     slices = filter_slices(blocks, block_bits, SLICE_BYTES)
     if len(slices) > 1:
@@ -526,7 +570,7 @@ def _scored(rows: DataFrame, folds: int, held: int, mu: float) -> DataFrame:
     passes = []
     for i, (low, high, size) in enumerate(slices):
         part = blocks.filter(F.col("block").between(low, high)).toLocalIterator()
-        model = Model(Filter(block_bits, low, high, part, size), frequent, totals, masses, total, distinct, mass, mu)
+        model = Model(Filter(block_bits, low, high, part, size, first), frequent, totals, masses, total, distinct, mass, mu)
         shared = context.broadcast(model)
         passes.append(stash(_pass(rows, shared, i == 0), "scored"))
         shared.destroy()  # what it was for is written
@@ -535,13 +579,19 @@ def _scored(rows: DataFrame, folds: int, held: int, mu: float) -> DataFrame:
         scores = reduce(DataFrame.unionByName, (x.select("row", "score") for x in [state.filter("word is null"), *passes[1:]]))
         state = state.drop("score").join(scores.groupBy("row").agg(F.sum("score").alias("score")), "row", "left")
     rare = state.filter("word is not null").select("row", "word", "tf").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("gain"))
+    false = model.false_mass()
+    spent = F.sum(F.col("tf") * F.log10(1 + (F.col("n") + false) / mu)) if frequent.whole else F.lit(0.0)
+    rare = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("gain"), spent.alias("spent"))
     rows = state.filter("word is null").drop("word", "tf").join(rare, "row", "left")
+    rows = rows.withColumn("known", F.col("known") + F.coalesce("more", F.lit(0)))
+    if frequent.whole:  # a pass cannot tell false hits after words that are not known
+        unseen = (F.col("n_tokens") - F.col("known")) * F.lit(log10(1 + false / mu))
+        rows = rows.withColumn("score", F.col("score") - F.coalesce("spent", F.lit(0.0)) - unseen)
     return rows.select(
         "doc_id",
         (remainder("doc_id", folds) == held).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).cast("long").alias("n_known"),
+        F.col("known").cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("sums") + F.coalesce("gain", F.lit(0.0))).alias("base_score"),
         "score",
