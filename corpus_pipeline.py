@@ -55,9 +55,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_apart
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or
-    more) the document of the least id stays. Fingerprints cannot decide that similarity:
-    pairs of it differ in ten bits of 64 and more, which no few blocks bound; so shingle
-    sets are joined exactly (see the README)."""
+    more) the document of the least id stays. SimHash finds the candidates, whole sets
+    confirm them. Pairs of that similarity differ in ten bits of 64 and more, which no few
+    blocks bound; so what fingerprints leave apart is joined exactly (see the README)."""
     return nearcopies.keep_one(docs)
 
 

@@ -97,3 +97,29 @@ def test_parities_never_rule_out_similar_sets():
             assert seen or not nearcopies.similar(a, b)
     far = [draw.integers(0, 1 << 63, n, np.uint64) for n in (400, 500)]
     assert not nearcopies.plausible(*(np.frombuffer(nearcopies.parities(x), np.uint8) for x in far), 900)
+
+
+def test_fingerprints_find_and_exact_sets_decide(spark, monkeypatch):
+    """SimHash alone links near copies of few differing bits, and what it leaves the exact way finds."""
+    random.seed(12)
+    base = [f"w{i}" for i in range(400)]
+    near = [(i, " ".join(base[:i] + ["x"] + base[i:])) for i in range(1, 400, 20)]
+    rows = near + [(1000 + i, " ".join(f"u{random.randrange(10**6)}" for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    narrow = docs.select("doc_id", "text")
+    marks = nearcopies.stash(nearcopies.with_prefixes(narrow), "marks")
+    prints = {r.fp: r["print"] & (1 << 64) - 1 for r in marks.collect()}
+    for _, text in rows:
+        found = nearcopies.shingles(text)
+        bits = sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in found) > len(found))
+        assert prints[nearcopies.set_mark(found)] == bits
+    pairs = nearcopies.fingerprint_pairs(marks)
+    assert all((prints[r.a] ^ prints[r.b]).bit_count() <= nearcopies.NEAR for r in pairs.collect())
+    linked = {x for r in nearcopies.verified(narrow, marks, pairs).collect() for x in (r.a, r.b)}
+    near_marks = {nearcopies.set_mark(nearcopies.shingles(t)) for _, t in near}
+    assert linked <= near_marks and len(linked) > len(near_marks) / 2
+    check([tuple(r) for r in nearcopies.keep_one(docs).collect()], rows)
+    used = []
+    monkeypatch.setattr(nearcopies, "fingerprint_pairs", lambda marks: used.append(1) or pairs)
+    corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    assert used

@@ -1,10 +1,17 @@
-"""Near copies by exact Jaccard similarity of five-word shingles.
+"""Near copies by SimHash, confirmed by the exact Jaccard similarity of five-word shingles.
+
+Each set of shingles has a fingerprint, the bits set in over half of its hashes. Sets whose
+fingerprints share a bucket of ``simhash`` and differ in at most NEAR bits are candidates;
+those as similar as SIMILARITY are linked. Fingerprints bound no similarity: sets just as
+similar differ in some ten bits and at times share no bucket. So an exact way follows for
+pairs that were not compared by then, which loses none.
 
 Shingles stand in one order for all texts, rare ones first. Two sets as similar as
 SIMILARITY share a shingle of their prefixes (the first n - ceil(SIMILARITY n) + 1), so
 pairs that meet in a prefix shingle are all there is to compare, and each that a bound by
-parities does not rule out is compared by its whole sets. Any order gives the same result; that frequent shingles come last, as a
-sample tells them, only keeps the groups that meet small. Groups are compared with their
+parities does not rule out is compared by its whole sets. Any order gives the same result;
+that frequent shingles come last, as a sample tells them, only keeps the groups that meet
+small. Groups are compared with their
 least member first, then with PIVOTS others, drawn anew while that links much; after that
 only pairs between different components are. The latter two make only pairs that a bound by
 parities allows.
@@ -22,12 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_text, map_arrow, spread, stash
+from . import simhash
+from .common import discard, id_text, map_arrow, spread, stash
 from .simhash import SEED, components, keep_rooted
 
 #: Words of a shingle, and the similarity from which texts are near copies: SIMILARITY of
 #: ten shingles of the union.
 SHINGLE, SIMILARITY = 5, 8
+#: Differing bits up to which fingerprints of one bucket make a candidate: what unlike sets
+#: in it stay over, mostly. It bears on speed only, as the exact way does the rest.
+NEAR = 16
 #: Documents whose shingles tell which are frequent, occurrences there from which a shingle
 #: counts as frequent, and how many of those are known. They bear on speed only.
 SAMPLE, FREQUENT, KNOWN = 20_000, 3, 250_000
@@ -132,15 +143,15 @@ def with_marks(df: DataFrame, text_col: str, name: str) -> DataFrame:
 
 
 def with_prefixes(rows: DataFrame) -> DataFrame:
-    """Of (doc_id, text): doc_id, fp (the set's mark), size of the set, its prefix and
-    parities, which are null where the task has given that of the same set before."""
+    """Of (doc_id, text): doc_id, fp (the set's mark), size of the set, its prefix, parities
+    and fingerprint, which are null where the task has given that of the same set before."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent(rows))
 
     def make():
         (known, ranks), seen = shared.value, set()
 
         def step(batch):
-            marks, sizes, heads, odd = [], [], [], []
+            marks, sizes, heads, odd, prints = [], [], [], [], []
             for value in batch.column(1):
                 found = shingles(value.as_py())
                 mark = set_mark(found)
@@ -148,18 +159,31 @@ def with_prefixes(rows: DataFrame) -> DataFrame:
                 sizes.append(len(found))
                 heads.append(None if mark in seen else prefix(found, known, ranks).view(np.int64))
                 odd.append(None if mark in seen else parities(found))
+                prints.append(None if mark in seen else simhash.signed(simhash.majority(found)))
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(mark)
-            new = [pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "fp", "size", "prefix", "odd"])
+            new = [pa.array(marks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64())), pa.array(odd, pa.binary()), pa.array(prints, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *new], ["doc_id", "fp", "size", "prefix", "odd", "print"])
 
         return step
 
-    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("fp", "size")), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())])
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("fp", "size")), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType()), T.StructField("print", T.LongType())])
     return map_arrow(rows.select("doc_id", "text"), make, schema)
 
 
+def fingerprint_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets that SimHash takes for near copies: of equal fingerprints each
+    with the least, and these least ones where their fingerprints are near."""
+    prints = marks.filter("print is not null").groupBy("fp").agg(F.min("print").alias("print"))
+    prints = stash(prints, "set_fingerprints")
+    least = stash(prints.groupBy("print").agg(F.min("fp").alias("a")), "distinct_fingerprints")
+    same = prints.join(least, "print").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    near = simhash.links(least.select(F.col("print").alias("fp")), NEAR).distinct().toDF("print", "other")
+    near = near.join(least, "print").join(least.toDF("other", "b"), "other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return stash(same.unionByName(near), "fingerprint_pairs")
+
+
 def meeting(marks: DataFrame) -> DataFrame:
     """(s, fp, size, least, least_size) for each set with s in its prefix, where two sets
     or more have it; least is the least of them. Runs of sorted rows are read as a stream."""
@@ -203,6 +227,7 @@ def sets_of(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     slot = F.col("fp").bitwiseAND(F.lit(SLOTS - 1))
     bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(fp, 58) as int))")
     found = named.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    discard(named)
     filled = np.zeros(SLOTS, np.int64)
     filled[found.column(0).to_numpy()] = found.column(1).to_numpy()
     shared = rows.sparkSession.sparkContext.broadcast(filled.view(np.uint64))
@@ -261,7 +286,10 @@ def verified(rows: DataFrame, marks: DataFrame, pairs: DataFrame) -> DataFrame:
 
         return step
 
-    return stash(map_arrow(joined.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "similar_pairs")
+    found = stash(map_arrow(joined.select("a", "b", "set_a", "set_b"), make, "a long, b long"), "similar_pairs")
+    for scratch in (sets, pairs):
+        discard(scratch)
+    return found
 
 
 def near(x: str, y: str) -> F.Column:
@@ -292,10 +320,9 @@ def pivots(placed: DataFrame, turn: int) -> DataFrame:
     return some.select("s", *(F.col(f"p.{c}").alias(d) for c, d in OTHER.items()))
 
 
-def star(rows: DataFrame, marks: DataFrame, pairs: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+def star(rows: DataFrame, marks: DataFrame, pairs: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Distinct ``pairs`` (a, b) not ``tested`` before, and those of them that are similar."""
-    fresh = pairs.distinct() if tested is None else pairs.distinct().join(tested, ["a", "b"], "left_anti")
-    fresh = stash(fresh, "star_pairs")
+    fresh = stash(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "star_pairs")
     return fresh, verified(rows, marks, fresh)
 
 
@@ -309,9 +336,12 @@ def mixed_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Links (a, b) between sets whose components are those of all similar pairs."""
+    candidates = fingerprint_pairs(marks)
+    by_print = verified(rows, marks, candidates)
     groups = stash(meeting(marks), "meeting")
     pairs = groups.filter((F.col("fp") != F.col("least")) & near("size", "least_size")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    tested, found = star(rows, marks, pairs, None)
+    fresh, found = star(rows, marks, pairs, candidates)
+    tested, found = fresh.unionByName(candidates), found.unionByName(by_print)
     mixed = mixed_groups(groups, found)
     have = stash(with_folded(marks.join(mixed.select("fp").distinct(), "fp", "left_semi")), "folded")
     for turn in range(ROUNDS):

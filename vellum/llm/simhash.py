@@ -49,7 +49,11 @@ def fingerprint(text: str | None) -> int:
     if not words:
         return 0
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)))) if len(words) >= SHINGLE else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64)
+    return majority(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), shingles), np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned 64 bits, those that are set in over half of the hashes; zero if there is none."""
     ones = np.zeros(64, np.int64)
     for part in np.array_split(hashes, len(hashes) // 65536 + 1):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -70,13 +74,13 @@ def with_fingerprints(df: DataFrame, text_col: str, name: str) -> DataFrame:
     return map_arrow(df, make, T.StructType([*df.schema.fields, T.StructField(name, T.LongType())]))
 
 
-def spanning(marks: np.ndarray) -> list[tuple[int, int]]:
-    """Links (first of its group, member) that connect what is within DISTANCE."""
+def spanning(marks: np.ndarray, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """Links (first of its group, member) that connect what is within ``distance``."""
     out, rest = [], np.sort(marks)
     while len(rest) > 1:
         root, front, rest = rest[0], [rest[0]], rest[1:]
         while front and len(rest):
-            near = np.bitwise_count(rest ^ front.pop()) <= DISTANCE
+            near = np.bitwise_count(rest ^ front.pop()) <= distance
             if near.any():
                 found = rest[near]
                 out += [(root, x) for x in found]
@@ -85,7 +89,7 @@ def spanning(marks: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def small_links(buckets: DataFrame) -> DataFrame:
+def small_links(buckets: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Spanning links of each row's array ``fps``."""
 
     def make():
@@ -97,9 +101,9 @@ def small_links(buckets: DataFrame) -> DataFrame:
             sizes = np.diff(ends)
             two = ends[:-1][sizes == 2]
             a, b = flat[two], flat[two + 1]
-            near = np.bitwise_count(a ^ b) <= DISTANCE
+            near = np.bitwise_count(a ^ b) <= distance
             for i in np.flatnonzero(sizes > 2):
-                links += spanning(flat[ends[i] : ends[i + 1]])
+                links += spanning(flat[ends[i] : ends[i + 1]], distance)
             more = np.array(links, np.uint64).reshape(-1, 2)
             left, right = np.concatenate([a[near], more[:, 0]]), np.concatenate([b[near], more[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(left.view(np.int64)), pa.array(right.view(np.int64))], ["a", "b"])
@@ -118,17 +122,18 @@ def split_buckets(members: DataFrame) -> DataFrame:
     return keys.groupBy("t", "n", "k").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` whose components are those of
-    all pairs within DISTANCE."""
+    all pairs within DISTANCE; with a larger ``distance`` also of such pairs within it as
+    share a bucket."""
     masks = [signed(m) for m in block_masks()]
     keys = stash(distinct.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("t", "k")), "block_keys")
     sizes = stash(keys.groupBy("t", "k").agg(F.count("*").alias("n")).filter("n > 1"), "block_sizes")
     small = keys.join(sizes.filter(F.col("n") <= BUCKET), ["t", "k"]).groupBy("t", "k").agg(F.collect_list("fp").alias("fps"))
-    found = small_links(small)
+    found = small_links(small, distance)
     large = sizes.filter(F.col("n") > BUCKET)
     if not large.isEmpty():
-        found = found.unionByName(small_links(split_buckets(keys.join(large, ["t", "k"], "left_semi"))))
+        found = found.unionByName(small_links(split_buckets(keys.join(large, ["t", "k"], "left_semi")), distance))
     return found
 
 
