@@ -1,3 +1,4 @@
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -135,3 +136,16 @@ def test_more_than_256_languages_are_all_learned(spark):
     want = {r[0]: r[2] for r in rows}
     assert {r.lang_pred for r in found} == set(want.values())
     assert sum(r.lang_pred == want[r.doc_id] for r in found) > 0.95 * len(rows)
+
+
+def test_fit_takes_little_of_the_driver_and_any_order_of_rows(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    tracemalloc.start()
+    codes = langid.fit(df)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20
+    again = langid.fit(df.orderBy(F.desc("doc_id")).repartition(3))
+    assert np.array_equal(codes.planes, again.planes) and np.array_equal(codes.trust, again.trust)
+    letterless = langid.fit(spark.createDataFrame([(1, "12", "en"), (2, "!", "de")], "doc_id long, text string, lang string"))
+    assert letterless.names == ["de", "en"]

@@ -123,3 +123,16 @@ def test_fingerprints_find_and_exact_sets_decide(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "fingerprint_pairs", lambda marks: used.append(1) or pairs)
     corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert used
+
+
+def test_merged_components_are_those_of_all_links(spark, monkeypatch):
+    schema = "a long, b long"
+    first, more = [(1, 2), (2, 3), (5, 6), (7, 8), (8, 9)], [(3, 6), (9, 11), (12, 13)]
+    known = nearcopies.components(spark.createDataFrame(first, schema)).withColumnRenamed("node", "fp")
+    found = {tuple(r) for r in nearcopies.merged(known, spark.createDataFrame(more, schema)).collect()}
+    assert found == {tuple(r) for r in nearcopies.components(spark.createDataFrame(first + more, schema)).collect()}
+    random.seed(9)
+    rows, searches, components = made(), [], nearcopies.components
+    monkeypatch.setattr(nearcopies, "components", lambda links: searches.append(links) or components(links))
+    check([tuple(r) for r in nearcopies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()], rows)
+    assert len(searches) == 2  # at first, and after the one turn that finds links

@@ -143,3 +143,20 @@ def test_keep_one_of_unrelated_texts_under_one_id(spark):
     assert len(plain_components([plain_fingerprint(t) for t in texts])) == 7
     found = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, found), key=repr) == sorted([(None, a), (None, b), (None, c), (7, d), (7, e), (7, f), (3, g)], key=repr)
+
+
+def test_components_step_only_while_links_are_no_stars(spark, monkeypatch):
+    steps, stash = [], simhash.stash
+    monkeypatch.setattr(simhash, "stash", lambda df, label: steps.append(label) or stash(df, label))
+    random.seed(4)
+    graphs = [[], [(1, i) for i in range(2, 9)] + [(20, 30)], [(i, i + 1) for i in range(12)], [(2, 9), (3, 9), (3, 4)], [(random.randrange(60), random.randrange(60)) for _ in range(45)]]
+    for links in graphs:
+        steps.clear()
+        root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+        for _ in root:
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        found = [tuple(r) for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()]
+        assert sorted(found) == sorted(root.items())
+        assert (steps == ["links"]) == (links in graphs[:2])

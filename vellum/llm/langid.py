@@ -8,6 +8,7 @@ language, and takes the nearest codeword; a close second flags the text as ambig
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import product
@@ -133,8 +134,9 @@ def fit(labelled: DataFrame) -> Codes:
 
     Every language is learned. Some SAMPLE labelled rows are fitted on, the same number of
     each language, EACH at least, drawn row by row with a fixed seed, whatever their ids
-    and texts; their feature vectors, of fixed size, come to the driver. Shares are so
-    much larger than they need be (six deviations) that no language falls short."""
+    and texts; their feature vectors, of fixed size, come to one task, and what it has
+    fitted to the driver. Shares are so much larger than they need be (six deviations) that
+    no language falls short."""
     labelled = labelled.filter("text is not null and lang is not null")
     found = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()
     names = sorted(r.lang for r in found)
@@ -152,10 +154,22 @@ def fit(labelled: DataFrame) -> Codes:
         return step
 
     some = labelled.select("text", "lang", F.rand(DRAW).alias("at")).join(F.broadcast(shares), "lang").filter(F.col("at") < F.col("share"))
-    rows = map_arrow(some.select("text", "lang"), make, "lang string, vector binary").collect()
-    vectors = np.array([np.frombuffer(r.vector, "<f2") for r in rows], np.float32).reshape(-1, DIMENSIONS)
-    number = {name: i for i, name in enumerate(names)}
-    return Codes(names, vectors, np.array([number[r.lang] for r in rows], int))
+    return fitted(names, map_arrow(some.select("text", "lang"), make, "lang string, vector binary"))
+
+
+def fitted(names: list[str], rows: DataFrame) -> Codes:
+    """Classifiers from (lang, vector) rows, fitted in one task, in one order of the rows:
+    vectors and the matrices of the fit take some 200 MB, which the driver need not have."""
+
+    def run(batches):
+        found = sorted(pair for batch in batches for pair in zip(*(c.to_pylist() for c in batch.columns)))
+        vectors = np.frombuffer(b"".join(v for _, v in found), "<f2").astype(np.float32).reshape(-1, DIMENSIONS)
+        number = {name: i for i, name in enumerate(names)}
+        codes = Codes(names, vectors, np.array([number[lang] for lang, _ in found], int))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(codes)], pa.binary())], ["codes"])
+
+    row = rows.repartition(1).mapInArrow(run, "codes binary").first()
+    return pickle.loads(row.codes) if row else Codes(names, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, int))
 
 
 def only(name: str) -> Codes:

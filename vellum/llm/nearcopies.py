@@ -326,37 +326,46 @@ def star(rows: DataFrame, marks: DataFrame, pairs: DataFrame, tested: DataFrame)
     return fresh, verified(rows, marks, fresh)
 
 
-def mixed_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows (s, fp, size, root) of groups that hold more than one component of ``found``."""
-    known = stash(components(found).withColumnRenamed("node", "fp"), "star_components")
+def merged(known: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (fp, root) of ``known`` as the links ``more`` (a, b) join them: their
+    stars stand for the links that made them."""
+    stars = known.filter("fp <> root").select(F.col("root").alias("a"), F.col("fp").alias("b"))
+    return stash(components(stars.unionByName(more)).withColumnRenamed("node", "fp"), "star_components")
+
+
+def mixed_groups(groups: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows (s, fp, size, root) of groups that hold more than one component of ``known``."""
     placed = groups.select("s", "fp", "size").join(known, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     mixed = placed.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("s")
     return stash(placed.join(mixed, "s", "left_semi"), "mixed")
 
 
-def links(rows: DataFrame, marks: DataFrame) -> DataFrame:
-    """Links (a, b) between sets whose components are those of all similar pairs."""
+def classes_of(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """The components (fp, root) of all similar pairs; sets without one may be left out."""
     candidates = fingerprint_pairs(marks)
     by_print = verified(rows, marks, candidates)
     groups = stash(meeting(marks), "meeting")
     pairs = groups.filter((F.col("fp") != F.col("least")) & near("size", "least_size")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
     fresh, found = star(rows, marks, pairs, candidates)
     tested, found = fresh.unionByName(candidates), found.unionByName(by_print)
-    mixed = mixed_groups(groups, found)
+    known = stash(components(found).withColumnRenamed("node", "fp"), "star_components")
+    mixed, linked = mixed_groups(groups, known), found.count()
     have = stash(with_folded(marks.join(mixed.select("fp").distinct(), "fp", "left_semi")), "folded")
     for turn in range(ROUNDS):
         placed = mixed.join(have, "fp")
         pairs = placed.join(pivots(placed, turn), "s").filter(possible())
         again, more = star(rows, marks, pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")), tested)
-        much = more.count() > LITTLE * found.count()
-        tested, found = tested.unionByName(again), found.unionByName(more)
-        mixed = mixed_groups(mixed, found)
-        if not much:
+        tested, new = tested.unionByName(again), more.count()
+        if new:
+            known = merged(known, more)
+            mixed = mixed_groups(mixed, known)
+        if new <= LITTLE * linked:
             break
+        linked += new
     placed = mixed.join(have, "fp")
     cross = placed.join(placed.withColumnsRenamed(OTHER), "s").filter((F.col("fp") < F.col("b")) & possible())
     rest = stash(cross.select(F.col("fp").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti"), "cross_pairs")
-    return found if rest.isEmpty() else found.unionByName(verified(rows, marks, rest))
+    return known if rest.isEmpty() else merged(known, verified(rows, marks, rest))
 
 
 def with_folded(marks: DataFrame) -> DataFrame:
@@ -379,7 +388,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Shingles are computed anew where they are needed, for a copy of all would cost more."""
     rows = spread(id_text(docs, id_col, text_col))
     marks = stash(with_prefixes(rows), "set_prefixes")
-    linked = components(links(rows, marks)).withColumnRenamed("node", "fp")
+    linked = classes_of(rows, marks)
     ids = marks.select("doc_id", "fp")
     classes = ids.select("fp").distinct().join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     return keep_rooted(with_marks(spread(docs), text_col, "__fp"), ids, classes, id_col).select(*docs.columns)

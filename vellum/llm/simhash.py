@@ -137,16 +137,21 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return found
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether each u of the distinct ``links`` (u, v) has one v, which is no u itself."""
+    ends = links.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(links.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    more = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1")
+    return more.agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b): root is the least node reachable.
 
     Alternates large-star and small-star steps; each is aggregates and joins on nodes,
-    written to the shared folder, until the links stay as they are."""
+    written to the shared folder, until the links are stars, which the steps leave alone."""
     canon = lambda d: d.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).filter("u <> v").distinct()
     now = stash(canon(edges.select(F.col("a").alias("x"), F.col("b").alias("y"))), "links")
-    state = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    seen = state(now)
-    while True:
+    while not are_stars(now):
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = canon(both.join(least, "u").filter("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")))
@@ -154,10 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("u").alias("x"), F.col("m").alias("y")))
         now = stash(canon(small), "small_star")
-        after = state(now)
-        if after == seen:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        seen = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def fingerprint_classes(marks: DataFrame) -> DataFrame:
