@@ -220,3 +220,17 @@ def test_a_larger_vocabulary_does_not_drown_contexts():
     assert (filter_.levels(keys) >= 1).all()
     wrong = (filter_.levels(random_.integers(0, 1 << 63, 4_000_000, dtype=np.uint64)) > 0).sum()
     assert wrong < 4 * 4_000_000 * lm.FALSE * lm.FALSER
+
+
+def test_passes_do_not_split_texts_again(spark, monkeypatch):
+    """However many slices there are, a text is split to count words and to be written as numbers."""
+    docs, split = fixture(), spark.sparkContext.accumulator(0)
+
+    def counting(text):
+        split.add(1)
+        return (text or "").encode().lower().split() + [b"\n"]
+
+    monkeypatch.setattr(lm, "tokens_of", counting)
+    monkeypatch.setattr(lm, "SLICE_BYTES", 4000)
+    assert len(lm.score_documents(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == len(docs)
+    assert 0 < split.value <= len(docs) + sum(not held(d) for d, _ in docs)

@@ -39,14 +39,15 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` once as Parquet in the shared folder and reads it back.
+def stash(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Cuts lineage: writes ``df`` once as Parquet (with the writer's ``options``) in the
+    shared folder and reads it back.
 
     Unlike a local checkpoint it outlives executors, and unlike ``checkpoint()`` it is
     computed once, columnar, and later scans read only the columns that they need."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

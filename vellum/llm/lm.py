@@ -22,7 +22,9 @@ The filter is cut into blocks by hash, so each block is counted and built by one
 nothing meets at one place. What bears on a word, alone or after others, lies in the range
 of blocks of its hash's first bits; so a slice of the filter, some whole ranges of at most
 SLICE_BYTES in all, scores its words on its own, and slices, each a broadcast and a pass
-over the documents, add up. A larger filter means more slices, never a sparser filter. What
+over the documents, add up. A larger filter means more slices, never a sparser filter. Texts
+are split into words twice, to count words and to write each document once as numbers of
+words; pairs are counted, and passes made, from those. What
 p divides by bears on the word before, and each token of a text is before one other (the end
 before the first); so it is taken from the score token by token, from exact counts.
 
@@ -33,13 +35,14 @@ are broadcast; other words are joined to their counts by a shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache, reduce
 from math import ceil, log2, log10
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
@@ -162,48 +165,67 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def packed(keys: np.ndarray, counts: np.ndarray, block_bits: int) -> pa.RecordBatch:
+    """Keys in order, with their counts, as a row for each block."""
+    edges = np.searchsorted(keys >> U(64 - block_bits), np.arange((1 << block_bits) + 1, dtype=U))
+    rows = []
+    for b in np.flatnonzero(np.diff(edges)):
+        part, c = keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
+        at = np.flatnonzero(c > 1)
+        rows.append((int(b), part.tobytes(), at.astype("<u4").tobytes(), c[at].astype("<u8").tobytes()))
+    columns = list(zip(*rows)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "hashes", "places", "counts"])
+
+
+def word_blobs(counts: DataFrame, block_bits: int) -> DataFrame:
+    """(block, hashes, places, counts): keys of words, and the counts over one with their
+    places, packed."""
+
+    def run(batches):
+        held, ones, n = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
+
+        def out():
+            keys, weights = np.concatenate(held), np.concatenate(ones)
+            del held[1:], ones[1:]
+            order = np.argsort(keys)
+            return packed(keys[order], weights[order], block_bits)
+
+        for batch in batches:
+            held.append(np.fromiter(map(xxhash.xxh64_intdigest, batch.column(0).to_pylist()), U, batch.num_rows))
+            ones.append(batch.column(1).to_numpy())
+            n += batch.num_rows
+            if n >= FLUSH:
+                yield out()
+                n = 0
+        yield out()
+
+    return counts.select("word", "n").mapInArrow(run, "block int, hashes binary, places binary, counts binary")
+
+
 def sequence_blobs(train: DataFrame, block_bits: int, shared: Broadcast) -> DataFrame:
-    """(block, hashes, places, counts): keys of words and pairs, and the counts over one with
-    their places, packed."""
+    """The same of pairs of words, of ``coded`` documents."""
 
     def run(batches):
         frequent: Frequent = shared.value
-        words, held, n = Words(frequent.words()[: frequent.own], frequent.hashes[: frequent.own]), [], 0
-        end = frequent.end_class()
+        held, n, end = [], 0, frequent.end_class()
 
         def out():
             keys, counts = np.unique(np.concatenate(held or [np.zeros(0, U)]), return_counts=True)
             held.clear()
-            edges = np.searchsorted(keys >> U(64 - block_bits), np.arange((1 << block_bits) + 1, dtype=U))
-            rows = []
-            for b in np.flatnonzero(np.diff(edges)):
-                part, c = keys[edges[b] : edges[b + 1]], counts[edges[b] : edges[b + 1]]
-                at = np.flatnonzero(c > 1)
-                rows.append((int(b), part.tobytes(), at.astype("<u4").tobytes(), c[at].astype("<u8").tobytes()))
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["block", "hashes", "places", "counts"])
+            return packed(keys, counts, block_bits)
 
         for batch in batches:
-            flat: list[bytes] = []
-            starts: list[int] = []
-            for i, text in enumerate(texts_of(batch)):
-                starts.append(len(flat))
-                flat += tokens_of(text)
-                if len(flat) >= STEP or i == batch.num_rows - 1:
-                    numbers = words.numbers(flat)
-                    h = words.hashes[numbers]
-                    k = frequent.kinds(h, numbers)
-                    held += [h, pair_keys(h, shifted(k, np.array(starts), end), k)]
-                    n += len(flat)
-                    flat, starts = [], []
-                    if len(words) >= words.given + WORD_FLUSH:
-                        words.forget()
-                    if n >= FLUSH:
-                        yield from out()
-                        n = 0
-        yield from out()
+            for _, lengths, numbers, rare in decoded(batch):
+                h = np.concatenate((frequent.hashes, rare))[numbers]
+                k = frequent.kinds(h, numbers)
+                held.append(pair_keys(h, shifted(k, np.cumsum(lengths) - lengths, end), k))
+                n += len(numbers)
+                if n >= FLUSH:
+                    yield out()
+                    n = 0
+        yield out()
 
-    return train.select("text").mapInArrow(run, "block int, hashes binary, places binary, counts binary")
+    return train.select("codes", "rare", "given").mapInArrow(run, "block int, hashes binary, places binary, counts binary")
 
 
 # -- the filter -----------------------------------------------------------------------
@@ -438,83 +460,120 @@ def smoothed(word: np.ndarray, share: np.ndarray, past: np.ndarray, now: np.ndar
     return weight(word, share, past, now, both, model) / room(past, model)
 
 
-#: Columns of the first pass: a row for each document, and one for each of its rare words.
-_STATE = {"row": pa.int64(), "doc_id": None, "n_tokens": pa.int64(), "known": pa.int64(), "sums": pa.float64(), "score": pa.float64(), "word": pa.binary(), "tf": pa.int64()}
-_STATE_SQL = "row long, doc_id {}, n_tokens long, known long, sums double, score double, word binary, tf long"
+#: Columns of coded documents: what the base score needs of the frequent words, a code for
+#: each token, and the hashes of the rare words, with these words and their numbers of tokens.
+#: A code is the number of a frequent word or, past the ``given`` ones, a place in ``rare``.
+_CODED = {"row": pa.int64(), "doc_id": None, "n_tokens": pa.int64(), "known": pa.int64(), "sums": pa.float64(), "given": pa.int32(), "codes": pa.binary(), "rare": pa.binary(), "words": pa.list_(pa.binary()), "tfs": pa.list_(pa.int64())}
+_CODED_SQL = "row long, doc_id {}, n_tokens long, known long, sums double, given int, codes binary, rare binary, words array<binary>, tfs array<long>"
+
+
+def coded(docs: DataFrame, shared: Broadcast, total: int, distinct: int) -> DataFrame:
+    """Of (doc_id, text), a row for each document: its words as numbers."""
+
+    def run(batches):
+        frequent: Frequent = shared.value
+        words, base = Words(frequent.words(), frequent.hashes), np.append(np.log10(frequent.counts + 1), 0.0)
+        row, given = TaskContext.get().partitionId() << 40, words.given
+
+        def binaries(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+            offsets = (edges * values.itemsize).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())])
+
+        for batch in batches:
+            ids, texts, done = batch.column(0), texts_of(batch), 0
+            while done < batch.num_rows:
+                flat, lengths = [], []
+                while done + len(lengths) < batch.num_rows and len(flat) < STEP:
+                    more = tokens_of(next(texts))
+                    flat += more
+                    lengths.append(len(more))
+                if len(words) >= given + WORD_FLUSH:
+                    words.forget()
+                numbers, n = words.numbers(flat), np.array(lengths)
+                ends = np.concatenate(([0], np.cumsum(n)))
+                sums = np.add.reduceat(base[np.minimum(numbers, given)], ends[:-1]) - n * log10(total + distinct + 1)
+                known = np.add.reduceat((numbers < given).astype(np.int64), ends[:-1])
+                at = np.flatnonzero(numbers >= given)
+                doc = np.repeat(np.arange(len(n)), n)[at]
+                keys, place, tf = np.unique((doc << 32) + numbers[at], return_inverse=True, return_counts=True)
+                edges = np.searchsorted(keys >> 32, np.arange(len(n) + 1))
+                codes, rare = numbers.astype("<u4"), keys & 0xFFFFFFFF
+                codes[at] = given + place - edges[doc]
+                spelt = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array([words.list[i] for i in rare.tolist()], pa.binary()))
+                tfs = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(tf, pa.int64()))
+                columns = [row + np.arange(len(n)), ids.slice(done, len(n)), n, known, sums, np.full(len(n), given), binaries(codes, ends), binaries(words.hashes[rare].astype("<u8"), edges), spelt, tfs]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, _CODED.values())], list(_CODED))
+                done, row = done + len(n), row + len(n)
+
+    return docs.mapInArrow(run, _CODED_SQL.format(docs.schema["doc_id"].dataType.simpleString()))
+
+
+def decoded(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of (codes, rare, given, ...) some STEP tokens at a time: the first of the documents,
+    their lengths, the numbers of their words, and the hashes of those past the given ones."""
+    codes, rare = batch.column(0), batch.column(1)
+    lengths = pc.binary_length(codes).to_numpy().astype(np.int64) // 4
+    ends, first = np.cumsum(lengths), 0
+    while first < len(lengths):
+        held = ends[first - 1] if first else 0
+        last = min(len(lengths), int(np.searchsorted(ends, held + STEP)) + 1)
+        numbers = np.frombuffer(b"".join(codes.slice(first, last - first).to_pylist()), "<u4").astype(np.int64)
+        own = rare.slice(first, last - first)
+        n, sizes = lengths[first:last], pc.binary_length(own).to_numpy().astype(np.int64) // 8
+        shift = np.repeat(np.cumsum(sizes) - sizes, n)
+        numbers += np.where(numbers >= batch.column(2)[0].as_py(), shift, 0)
+        yield first, n, numbers, np.frombuffer(b"".join(own.to_pylist()), "<u8")
+        first = last
 
 
 def _pass(docs: DataFrame, shared: Broadcast, first: bool) -> DataFrame:
-    """Of (doc_id, text, row): the scores by this slice as ``score`` and, in the ``first``
-    pass, what the base score needs besides. Without a row the first pass counts them."""
-    counted = "row" in docs.columns
+    """Of ``coded`` documents (row, score): the scores by this slice; the ``first`` pass
+    also divides by what comes after the frequent words."""
 
     def run(batches):
         model: Model = shared.value
         frequent, filter_, count = model.frequent, model.filter, estimates()
-        words, end = Words(frequent.words(), frequent.hashes), frequent.end_class()
-        base, own, level = np.log10(frequent.counts + 1), frequent.own, np.full(len(frequent.counts), -1)
-        row = TaskContext.get().partitionId() << 40
+        given, own, end = len(frequent.hashes), frequent.own, frequent.end_class()
+        level, mine = np.full(given, -1), filter_.holds(frequent.hashes)
 
         def totals_of(hashes):
             """Totals of words that do not stand for themselves by the broadcast counts."""
             return np.full(len(hashes), np.inf) if frequent.whole else model.class_totals[(hashes >> U(64 - CLASS_BITS)).astype(np.int64)]
 
+        def spent(totals):
+            return np.log10(room(np.where(np.isinf(totals), 0, totals), model))
+
         total = np.concatenate((frequent.counts[:own], totals_of(frequent.hashes[own:])))
         total_end = np.append(total, totals_of(np.array([end_hash()])))[frequent.end_number()]
-
-        def rows(n: int, id_type: pa.DataType, **columns):
-            arrays = [pa.nulls(n, t or id_type) if c not in columns else columns[c] if t is None else pa.array(columns[c], t) for c, t in _STATE.items()]
-            return pa.RecordBatch.from_arrays(arrays, list(_STATE))
+        divided = spent(total)
 
         for batch in batches:
-            ids, texts, done = batch.column(0), texts_of(batch), 0
-            while done < batch.num_rows:
-                flat, lengths = [], []
-                while done + len(lengths) < batch.num_rows and len(flat) < STEP:
-                    more = tokens_of(next(texts))
-                    flat += more
-                    lengths.append(len(more))
-                if len(words) >= words.given + WORD_FLUSH:
-                    words.forget()
-                    base, level, total = base[: words.given], level[: words.given], total[: words.given]
-                numbers = words.numbers(flat)
-                if (new := len(words.list) - len(base)) > 0:
-                    base, level = np.concatenate((base, np.full(new, np.nan))), np.concatenate((level, np.full(new, -1)))
-                    total = np.concatenate((total, totals_of(words.hashes[-new:])))
-                hashes, n = words.hashes[numbers], np.array(lengths)
-                starts = np.concatenate(([0], np.cumsum(n)[:-1]))
-                now, k = total[numbers], frequent.kinds(hashes, numbers)
-                past, before = shifted(now, starts, total_end), shifted(k, starts, end)
-                here = np.flatnonzero(filter_.holds(hashes))  # other words are another slice's
-                some, h = numbers[here], hashes[here]
-                unknown = np.unique(some[level[some] < 0])
-                level[unknown] = filter_.levels(words.hashes[unknown])
-                word = count[level[some]]
-                share, most = 1.0, np.where(np.isinf(now[here]), word, now[here])
+            for done, n, numbers, rare in decoded(batch):
+                # of the words: the frequent ones, then the rare ones of these documents
+                hashes, starts = np.concatenate((frequent.hashes, rare)), np.cumsum(n) - n
+                totals, holds = np.concatenate((total, totals_of(rare))), filter_.holds(rare)
+                here = np.flatnonzero(np.concatenate((mine, holds))[numbers])  # other words are another slice's
+                some = numbers[here]
+                seen = np.zeros(given, bool)
+                seen[some[some < given]] = True
+                unknown = np.flatnonzero(seen & (level < 0))
+                level[unknown] = filter_.levels(frequent.hashes[unknown])
+                word = count[np.concatenate((level, filter_.levels(rare)))[some]]
+                k = frequent.kinds(hashes, np.arange(len(hashes)))
+                past, before = shifted(totals[numbers], starts, total_end)[here], shifted(k[numbers], starts, end)[here]
+                h, now = hashes[some], totals[some]
+                share, most = 1.0, np.where(np.isinf(now), word, now)
                 if not frequent.whole:
                     mass = model.class_mass[(h >> U(64 - CLASS_BITS)).astype(np.int64)]
                     share = np.where(some >= own, word / np.maximum(1, mass), 1.0)
-                both = count[filter_.levels(pair_keys(h, before[here], k[here]))]
+                both = count[filter_.levels(pair_keys(h, before, k[some]))]
                 p = np.zeros(len(numbers))
-                p[here] = np.log10(weight(word, share, past[here], most, both, model))
+                p[here] = np.log10(weight(word, share, past, most, both, model))
                 if first:
-                    p -= np.log10(room(np.where(np.isinf(now), 0, now), model))
-                score = np.add.reduceat(p, starts)
-                at = batch.column(2).slice(done, len(n)).to_numpy() if counted else row + np.arange(len(n))
-                if not first:
-                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(score)], ["row", "score"])
-                else:
-                    exact = base[numbers]
-                    rare = np.isnan(exact)
-                    known = np.add.reduceat((~rare).astype(np.int64), starts)
-                    sums = np.add.reduceat(np.where(rare, 0, exact), starts) - n * log10(model.total + model.distinct + 1)
-                    yield rows(len(n), ids.type, row=at, doc_id=ids.slice(done, len(n)), n_tokens=n, known=known, sums=sums, score=score)
-                    keys, tf = np.unique((np.repeat(np.arange(len(n)), n)[rare] << 32) + numbers[rare], return_counts=True)
-                    if len(keys):
-                        yield rows(len(keys), ids.type, row=at[keys >> 32], word=[words.list[i] for i in (keys & 0xFFFFFFFF).tolist()], tf=tf)
-                done, row = done + len(n), row + len(n)
+                    p -= np.concatenate((divided, spent(totals[given:])))[numbers]
+                yield pa.RecordBatch.from_arrays([batch.column(3).slice(done, len(n)), pa.array(np.add.reduceat(p, starts))], ["row", "score"])
 
-    return docs.mapInArrow(run, _STATE_SQL.format(docs.schema["doc_id"].dataType.simpleString()) if first else "row long, score double")
+    return docs.select("codes", "rare", "given", "row").mapInArrow(run, "row long, score double")
 
 
 def filter_slices(blocks: DataFrame, block_bits: int, size: int) -> list[tuple[int, int, int]]:
@@ -562,27 +621,24 @@ def _scored(rows: DataFrame, folds: int, held: int, mu: float) -> DataFrame:
         totals = masses = np.zeros(0)
     first = first_words(distinct, mu)
     block_bits = CLASS_BITS + max(0, ceil(log2(max(1, total) / BLOCK_TOKENS)) - CLASS_BITS)
-    blocks = stash(build_blocks(sequence_blobs(train, block_bits, known), first), "filter_blocks")
+    docs = stash(coded(rows, known, total, distinct), "coded", compression="zstd")
+    train = docs.filter(remainder("doc_id", folds) != held)
+    blobs = word_blobs(counts, block_bits).unionByName(sequence_blobs(train, block_bits, known))
+    blocks = stash(build_blocks(blobs, first), "filter_blocks")
     known.destroy()
-    slices = filter_slices(blocks, block_bits, SLICE_BYTES)
-    if len(slices) > 1:
-        rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
     passes = []
-    for i, (low, high, size) in enumerate(slices):
+    for i, (low, high, size) in enumerate(filter_slices(blocks, block_bits, SLICE_BYTES)):
         part = blocks.filter(F.col("block").between(low, high)).toLocalIterator()
         model = Model(Filter(block_bits, low, high, part, size, first), frequent, totals, masses, total, distinct, mass, mu)
         shared = context.broadcast(model)
-        passes.append(stash(_pass(rows, shared, i == 0), "scored"))
+        passes.append(stash(_pass(docs, shared, i == 0), "scored"))
         shared.destroy()  # what it was for is written
-    state = passes[0]
-    if len(passes) > 1:
-        scores = reduce(DataFrame.unionByName, (x.select("row", "score") for x in [state.filter("word is null"), *passes[1:]]))
-        state = state.drop("score").join(scores.groupBy("row").agg(F.sum("score").alias("score")), "row", "left")
-    rare = state.filter("word is not null").select("row", "word", "tf").join(counts, "word")
+    scores = reduce(DataFrame.unionByName, passes).groupBy("row").agg(F.sum("score").alias("score"))
+    rare = docs.select("row", F.explode(F.arrays_zip("words", "tfs")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.tfs").alias("tf")).join(counts, "word")
     false = model.false_mass()
     spent = F.sum(F.col("tf") * F.log10(1 + (F.col("n") + false) / mu)) if frequent.whole else F.lit(0.0)
     rare = rare.groupBy("row").agg(F.sum("tf").alias("more"), F.sum(F.col("tf") * F.log10(F.col("n") + 1)).alias("gain"), spent.alias("spent"))
-    rows = state.filter("word is null").drop("word", "tf").join(rare, "row", "left")
+    rows = docs.select("row", "doc_id", "n_tokens", "known", "sums").join(scores, "row").join(rare, "row", "left")
     rows = rows.withColumn("known", F.col("known") + F.coalesce("more", F.lit(0)))
     if frequent.whole:  # a pass cannot tell false hits after words that are not known
         unseen = (F.col("n_tokens") - F.col("known")) * F.lit(log10(1 + false / mu))
