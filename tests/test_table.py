@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.errors import BadTarget, BrokenLink, DuplicateKeys, IllegalArgument, RangeOverlap
 from vellum.operators import index
-from vellum.operators.stats import collect_table_stats, field_stats, print_table_stats, stats_frame, validate, view_table
+from vellum.operators.stats import _rows_of_folders, _stretches, collect_table_stats, field_stats, print_table_stats, stats_frame, validate, view_table
 from vellum.plans.table import Table, _plain, changes_between
 from vellum.sources.store import Store
 
@@ -306,3 +306,33 @@ def test_whole_folders_are_one_path(store, spark):
     u = t.insert([{"id": 77, "a": 2}]).append(spark.range(1000, 1020).withColumn("a", F.lit(3)))
     assert u.scan().agg(F.count("*"), F.sum("a")).first()[:] == (420, 400 + 1 + 60) and u.scan().columns == ["id", "a"]
     assert t.scan(fields=["a"]).count() == 400 and [r.id for r in t.scan(offset=395).collect()] == list(range(395, 400))
+
+
+def test_checks_of_rows_need_no_shuffle(store, spark):
+    """Only stretches of files come back; broken folders are found as by brute force."""
+    t = Table.new(store, "t", primary_key=["a", "b"], lexicoder=("tuple", "string", ("reverse", "integer")), partition_limit=40)
+    t = t.load_records(spark.range(200).select((F.col("id") % 3).cast("string").alias("a"), F.col("id").alias("b")))
+    parts = [dict(p) for p in module_parts(t)]
+    plan = _stretches(t, parts, 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "regexp" not in plan
+    order = [F.asc("a"), F.desc("b")]
+    for number, change in enumerate([lambda df: df.orderBy(F.desc("a"), "b"), lambda df: df.union(df.limit(5)).coalesce(1).sortWithinPartitions(*order), lambda df: df.union(df).repartition(3, "b").sortWithinPartitions(*order), lambda df: df.repartitionByRange(3, *order).sortWithinPartitions(*order)]):
+        path = store.new_data("parts") + "/" + "/".join(parts[number]["path"].split("/")[-2:])
+        change(spark.read.schema(t.schema).parquet(parts[number]["path"])).write.parquet(path)
+        parts[number]["path"] = path
+    want = {}
+    for p in parts:
+        rows = spark.read.parquet(p["path"]).select("a", "b", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).orderBy("file", "row").collect()
+        rank = [(r.a, -r.b) for r in rows]
+        down = sum(x.file == y.file and j < i for x, y, i, j in zip(rows, rows[1:], rank, rank[1:]))
+        lo, hi = min(rank), max(rank)
+        want["/".join(p["path"].split("/")[-3:])] = (len(rows), len(set(rank)), down, (lo[0], -lo[1]), (hi[0], -hi[1]))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 10_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = _rows_of_folders(t, parts, 0)
+            assert {k: (r["n"], r["d"], r["down"], *((r[e]["a"], r[e]["b"]) for e in ("lo", "hi"))) for k, r in found.items()} == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sum(n != d for n, d, *_ in want.values()) == 2 and sum(down > 0 for _, _, down, *_ in want.values()) == 1

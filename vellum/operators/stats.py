@@ -6,7 +6,9 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +126,7 @@ class Result:
 def validate(table, deep: bool = True) -> list[Result]:
     """Checks the tree's shape and the order between partitions from the nodes and,
     ``deep``, the rows of each partition: their number, distinct keys, first and last key,
-    and their order within each file (keys alone are shuffled, file by file)."""
+    and their order within each file (keys alone are read, each file where it lies)."""
     store, root, out = table.store, table.root, []
 
     def check(path, kind, ok, message, expected="", actual="", state="fail"):
@@ -155,12 +157,7 @@ def validate(table, deep: bool = True) -> list[Result]:
         pk = table.primary_key
         for schema_id in sorted({n["schema"] for _, n in parts}):
             some = [(p, n) for p, n in parts if n["schema"] == schema_id]
-            rows = _with_folder(table, [n for _, n in some], schema_id)
-            in_file = Window.partitionBy("folder", "file").orderBy("row")
-            rows = rows.withColumn("down", F.coalesce(F.col("rank") < F.lag("rank").over(in_file), F.lit(False)))
-            key = F.struct(*(f"`{k}`" for k in pk))
-            found = rows.groupBy("folder").agg(F.count("*").alias("n"), F.count_distinct(*(f"`{k}`" for k in pk)).alias("d"), F.count_if("down").alias("down"), F.min_by(key, "rank").alias("lo"), F.max_by(key, "rank").alias("hi"))
-            seen = {r["folder"]: r for r in found.collect()}  # a row for each partition
+            seen = _rows_of_folders(table, [n for _, n in some], schema_id)
             for path, n in some:
                 r = seen.get("/".join(n["path"].split("/")[-3:]))
                 edges = r and tuple(partitions.encode_key(table.codec, r[e], pk).hex() for e in ("lo", "hi"))
@@ -177,12 +174,100 @@ def validate(table, deep: bool = True) -> list[Result]:
     return out
 
 
-def _with_folder(table, parts: list[dict], schema_id: int) -> DataFrame:
+def _rows_of_folders(table, parts: list[dict], schema_id: int) -> dict[str, dict]:
+    """By folder of a partition: rows ``n``, distinct keys ``d``, rows ``down`` that come
+    after a higher key in their file, and the keys ``lo`` and ``hi``. Where files are in
+    key order and apart, all this follows from their stretches; other partitions are
+    aggregated."""
+    pk, codec = table.primary_key, table.codec
+    files: dict[str, dict[str, list]] = {}
+    for r in _stretches(table, parts, schema_id).collect():  # a row for each split of a file
+        folder = "/".join(r["file"].split("/")[-4:-1])
+        files.setdefault(folder, {}).setdefault(r["file"], []).append(r)
+    seen, rest = {}, []
+    for folder, some in files.items():
+        n = down = same = 0
+        spans = []
+        for stretches in some.values():
+            stretches.sort(key=lambda r: r["row"])
+            edges = [[{k: r[f"{e}{i}"] for i, k in enumerate(pk)} for e in ("first", "last")] for r in stretches]
+            coded = [[partitions.encode_key(codec, k, pk) for k in e] for e in edges]
+            n += sum(r["n"] for r in stretches)
+            down += sum(r["down"] for r in stretches) + sum(b[0] < a[1] for a, b in zip(coded, coded[1:]))
+            same += sum(r["same"] for r in stretches) + sum(b[0] == a[1] for a, b in zip(edges, edges[1:]))
+            spans.append((coded[0][0], coded[-1][1], edges[0][0], edges[-1][1]))
+        spans.sort(key=lambda s: s[:2])
+        seen[folder] = {"n": n, "d": n - same, "down": down, "lo": spans[0][2], "hi": spans[-1][3]}
+        if down or any(b[0] <= a[1] for a, b in zip(spans, spans[1:])):
+            rest.append(folder)
+    if rest:
+        again = [p for p in parts if "/".join(p["path"].split("/")[-3:]) in rest]
+        key = F.struct(*(f"`{k}`" for k in pk))
+        found = _with_file(table, again, schema_id).withColumn("folder", F.substring_index(F.substring_index("file", "/", -4), "/", 3))
+        found = found.groupBy("folder").agg(F.count_distinct(*(f"`{k}`" for k in pk)).alias("d"), F.min_by(key, "rank").alias("lo"), F.max_by(key, "rank").alias("hi"))
+        for r in found.collect():
+            seen[r["folder"]] |= {"d": r["d"], "lo": r["lo"], "hi": r["hi"]}
+    return seen
+
+
+def _with_file(table, parts: list[dict], schema_id: int) -> DataFrame:
     had = T.StructType.fromJson(table.root["schemas"][schema_id])
     df = table.store.spark.read.schema(had).parquet(*(p["path"] for p in parts))
-    file = F.regexp_extract(F.col("_metadata.file_path"), r"[^/]+/[^/]+/[^/]+/[^/]+$", 0)
-    rank = F.struct(*(partitions.rankable(F.col(f"`{k}`"), had[k].dataType, c) for k, c in zip(table.primary_key, K.parts_of(table.codec))))
-    return df.select(*(f"`{k}`" for k in table.primary_key), F.substring_index(file, "/", 3).alias("folder"), file.alias("file"), F.col("_metadata.row_index").alias("row"), rank.alias("rank"))
+    # arrays are ranked by their bytes, which Arrow can compare
+    rank = F.struct(*((c.column(F.col(f"`{k}`")) if isinstance(had[k].dataType, T.ArrayType) else partitions.rankable(F.col(f"`{k}`"), had[k].dataType, c)).alias(f"rank{i}") for i, (k, c) in enumerate(zip(table.primary_key, K.parts_of(table.codec)))))
+    return df.select(*(f"`{k}`" for k in table.primary_key), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), rank.alias("rank"))
+
+
+def _stretches(table, parts: list[dict], schema_id: int) -> DataFrame:
+    """Neighbouring rows of a file that one task reads: their first row's number, how many
+    they are, how many come after a higher and after an equal key, first and last key."""
+    rows = _with_file(table, parts, schema_id)
+    pk = table.primary_key
+    kinds = [rows.schema[k].dataType for k in pk]
+    own = [c.descending or isinstance(t, T.ArrayType) for c, t in zip(K.parts_of(table.codec), kinds)]
+    ranks = [f"rank{i}" if o else f"key{i}" for i, o in enumerate(own)]
+    sent = rows.select("file", "row", *(F.col(f"`{k}`").alias(f"key{i}") for i, k in enumerate(pk)), *(F.col(f"rank.rank{i}").alias(f"rank{i}") for i, o in enumerate(own) if o))
+    out = T.StructType([T.StructField("file", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("row", "n", "down", "same")), *(T.StructField(f"{e}{i}", t) for e in ("first", "last") for i, t in enumerate(kinds))])
+
+    def run(batches):
+        held = None  # the stretch that may go on, and its last rank
+
+        def shown(s):
+            return pa.RecordBatch.from_pydict({k: pa.array([s[k]], s["types"][k]) if k in s["types"] else [s[k]] for k in out.names})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            file, row = batch["file"], batch["row"]
+            down, same = _steps([batch[c] for c in ranks])
+            breaks = pc.or_(pc.not_equal(file[1:], file[:-1]), pc.not_equal(row[1:], pc.add(row[:-1], 1)))
+            starts = [0, *(i + 1 for i in pc.indices_nonzero(breaks).to_pylist())]
+            for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+                at = lambda i: tuple(batch[c][i].as_py() for c in ranks)  # noqa: B023, E731
+                new = {"file": file[a].as_py(), "row": row[a].as_py(), "n": b - a, "down": pc.sum(down[a : b - 1]).as_py() or 0, "same": pc.sum(same[a : b - 1]).as_py() or 0, "rank": at(b - 1)}
+                new |= {f"{e}{i}": batch[f"key{i}"][j].as_py() for i in range(len(pk)) for e, j in (("first", a), ("last", b - 1))}
+                new["types"] = {f"{e}{i}": batch.schema.field(f"key{i}").type for i in range(len(pk)) for e in ("first", "last")}
+                if held and held["file"] == new["file"] and held["row"] + held["n"] == new["row"]:
+                    begin = at(a)
+                    new |= {"row": held["row"], "n": held["n"] + new["n"], "down": held["down"] + new["down"] + (begin < held["rank"]), "same": held["same"] + new["same"] + (begin == held["rank"])}
+                    new |= {f"first{i}": held[f"first{i}"] for i in range(len(pk))}
+                elif held:
+                    yield shown(held)
+                held = new
+        if held:
+            yield shown(held)
+
+    return sent.mapInArrow(run, out)
+
+
+def _steps(ranks: list) -> tuple:
+    """Whether each row but the first ranks under the one before, and whether they are equal."""
+    down = pa.array([False] * (len(ranks[0]) - 1), pa.bool_())
+    same = pa.array([True] * (len(ranks[0]) - 1), pa.bool_())
+    for r in ranks:
+        down = pc.or_(down, pc.and_(same, pc.fill_null(pc.less(r[1:], r[:-1]), False)))
+        same = pc.and_(same, pc.fill_null(pc.equal(r[1:], r[:-1]), False))
+    return down, same
 
 
 def results_frame(spark, results: list[Result]) -> DataFrame:
