@@ -8,6 +8,7 @@ partition's content id, so that equal content is recognised whatever file holds
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from math import ceil
 
@@ -57,8 +58,13 @@ def row_digest(columns: list[str], types: dict[str, T.DataType]) -> list[Column]
     shown = [F.to_json(F.struct(F.col(f"`{c}`").alias("v"))) if not isinstance(types[c], T.BinaryType) else F.hex(f"`{c}`") for c in columns]
     text = F.concat_ws("\x1f", *(F.coalesce(s, F.lit("\x00")) for s in shown), F.array_join(F.sort_array(F.coalesce(F.col(NIL), F.array().cast("array<string>"))), ","))
     digest = F.sha2(text, 256)
-    half = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("decimal(38,0)")
-    return [F.sum(half(1)).cast("string").alias("h1"), F.sum(half(16)).cast("string").alias("h2")]
+    half = lambda a: F.conv(F.substring(digest, a, 15), 16, 10).cast("long")
+
+    def total(value: Column) -> Column:  # 60 bits as two sums of longs, which no number of rows here overflows
+        high, low = (F.sum(v).cast("decimal(38,0)") for v in (F.shiftright(value, 30), value.bitwiseAND(F.lit((1 << 30) - 1))))
+        return (high * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(38,0)").cast("string")
+
+    return [total(half(1)).alias("h1"), total(half(16)).alias("h2")]
 
 
 def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str], limit: int, schema_id: int, bloom: bool = False) -> list[tuple[int, dict]]:
@@ -82,9 +88,11 @@ def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str
     for run in sorted(totals):
         first[run], at = at, at + plans[run][0] + (1 if plans[run][1] else 0) + (1 if plans[run][2] else 0)
     rows, seen, in_task = [], dict.fromkeys(totals, 0), {}
+    begins: dict[int, list[tuple[int, int, int]]] = {run: [] for run in totals}  # number, task, shift
     for r in counts:
         full, second, _ = plans[r[RUN]]
         rows.append((r.task, r[RUN], seen[r[RUN]] - in_task.get(r.task, 0), full, full * limit + second, first[r[RUN]]))
+        begins[r[RUN]].append((seen[r[RUN]], r.task, rows[-1][2]))
         seen[r[RUN]] += r.n
         in_task[r.task] = in_task.get(r.task, 0) + r.n
     # a row for each task and run, far below what a broadcast may hold
@@ -94,27 +102,66 @@ def write_partitions(store, df: DataFrame, codec: K.Codec, primary_key: list[str
     kept = [c for c in held.columns if c not in (AT, RUN, DEAD, SEQ)]
     cut = held.withColumn("__v_task", task).join(F.broadcast(where), ["__v_task", RUN]).select(*(F.col(f"`{c}`") for c in kept), part.cast("long").alias(PART), RUN)
     path = store.new_data("parts")
-    writer = cut.sortWithinPartitions(PART, *order).write.partitionBy(PART, RUN)
+    # the order that the writer needs, so that it does not sort once more
+    writer = cut.sortWithinPartitions(PART, RUN, *order).write.partitionBy(PART, RUN)
     for k in primary_key if bloom else ():
         writer = writer.option(f"parquet.bloom.filter.enabled#{k}", "true").option(f"parquet.bloom.filter.expected.ndv#{k}", str(limit))
     writer.parquet(path)
-    return describe(store, path, df.select(*kept).schema, codec, primary_key, schema_id)
+    # places of the first and the last row of each partition
+    ends: list[tuple[int, int, bool]] = []
+    for run, (full, second, last) in plans.items():
+        at = 0
+        for i, size in enumerate([limit] * full + [size for size in (second, last) if size]):
+            for row, is_last in ((at, False), (at + size - 1, True)):
+                _, at_task, shift = begins[run][bisect.bisect_right(begins[run], row, key=lambda b: b[0]) - 1]
+                ends.append(((at_task << 33) + row - shift, first[run] + i, is_last))
+            at += size
+    return describe(store, path, df.select(*kept).schema, edge_keys(held, ends, primary_key), codec, primary_key, schema_id)
+
+
+def edge_keys(held: DataFrame, ends: list[tuple[int, int, bool]], primary_key: list[str]) -> dict[int, list]:
+    """First and last key of each partition, looked up by the places of these rows."""
+    wanted = held.sparkSession.createDataFrame(ends, f"{AT} long, {PART} long, __v_last boolean")
+    found = held.select(AT, F.struct(*(F.col(f"`{k}`") for k in primary_key)).alias("key")).join(F.broadcast(wanted), AT).select(PART, "__v_last", "key").collect()
+    out: dict[int, list] = {}
+    for r in found:
+        out.setdefault(r[PART], [None, None])[r["__v_last"]] = r["key"]
+    return out
+
+
+def described(spark, path: str, schema: T.StructType) -> DataFrame:
+    """Size, rows and digests of each partition below ``path``: all are numbers, so that
+    Spark hashes the groups and does not sort a task's rows by them."""
+    full = T.StructType([*schema.fields, T.StructField(PART, T.LongType()), T.StructField(RUN, T.IntegerType())])
+    types = {f.name: f.dataType for f in schema}
+    size = F.sum(F.when(F.col("_metadata.row_index") == 0, F.col("_metadata.file_size")))  # once for each file
+    return spark.read.schema(full).parquet(path).groupBy(PART, RUN).agg(size.alias("size"), F.count("*").alias("n"), *row_digest(sorted(c for c in schema.names if c != NIL), types))
+
+
+def describe(store, path: str, schema: T.StructType, edges: dict[int, list], codec: K.Codec, primary_key: list[str], schema_id: int) -> list[tuple[int, dict]]:
+    """Entries of the partitions below ``path``, by one aggregate over it and the keys of
+    their first and last rows."""
+    columns = sorted(c for c in schema.names if c != NIL)
+    out, found = [], described(store.spark, path, schema).orderBy(PART).collect()
+    for r in found:
+        out.setdefault(r[PART], [None, None])[r["__v_last"]] = r["key"]
+    return out
 
 
-def describe(store, path: str, schema: T.StructType, codec: K.Codec, primary_key: list[str], schema_id: int) -> list[tuple[int, dict]]:
-    """Entries of the partitions below ``path``, by one aggregate over it."""
+def describe(store, path: str, schema: T.StructType, edges: dict[int, list], codec: K.Codec, primary_key: list[str], schema_id: int) -> list[tuple[int, dict]]:
+    """Entries of the partitions below ``path``, by one aggregate over it and the keys of
+    their first and last rows."""
     spark = store.spark
     full = T.StructType([*schema.fields, T.StructField(PART, T.LongType()), T.StructField(RUN, T.IntegerType())])
     data = spark.read.schema(full).parquet(path)
     types = {f.name: f.dataType for f in schema}
     columns = sorted(c for c in schema.names if c != NIL)
-    key = F.struct(*(F.col(f"`{k}`") for k in primary_key))
-    ordered = F.struct(*(rankable(F.col(f"`{k}`"), types[k], c) for k, c in zip(primary_key, K.parts_of(codec))))
-    files = data.groupBy(PART, RUN, F.col("_metadata.file_path").alias("file")).agg(F.max("_metadata.file_size").alias("size"), F.count("*").alias("n"), F.min_by(key, ordered).alias("lo"), F.max_by(key, ordered).alias("hi"), F.min(ordered).alias("lo_r"), F.max(ordered).alias("hi_r"), *row_digest(columns, types))
-    parts = files.groupBy(PART, RUN).agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.min_by("lo", "lo_r").alias("lo"), F.max_by("hi", "hi_r").alias("hi"), F.sum(F.col("h1").cast("decimal(38,0)")).cast("string").alias("h1"), F.sum(F.col("h2").cast("decimal(38,0)")).cast("string").alias("h2"))
+    # numbers alone, so that they are hashed, not sorted; each file has one first row
+    size = F.sum(F.when(F.col("_metadata.row_index") == 0, F.col("_metadata.file_size")))
+    parts = data.groupBy(PART, RUN).agg(size.alias("size"), F.count("*").alias("n"), *row_digest(columns, types))
     out, found = [], parts.orderBy(PART).collect()
     for r in found:
-        lo, hi = encode_key(codec, r.lo, primary_key).hex(), encode_key(codec, r.hi, primary_key).hex()
+        lo, hi = (encode_key(codec, k, primary_key).hex() for k in edges[r[PART]])
         content = hashlib.sha256(f"{r.n}|{lo}|{hi}|{r.h1}|{r.h2}|{','.join(columns)}".encode()).hexdigest()
         out.append((r[RUN], {"type": "partition", "id": content, "count": r.n, "size": r["size"], "first": lo, "last": hi, "path": f"{path}/{PART}={r[PART]}/{RUN}={r[RUN]}", "of": len(found), "schema": schema_id}))
     return out
