@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -191,7 +191,7 @@ def _rows_of_folders(table, parts: list[dict], schema_id: int) -> dict[str, dict
         for stretches in some.values():
             stretches.sort(key=lambda r: r["row"])
             edges = [[{k: r[f"{e}{i}"] for i, k in enumerate(pk)} for e in ("first", "last")] for r in stretches]
-            coded = [[partitions.encode_key(codec, k, pk) for k in e] for e in edges]
+            coded = [[K.sort_token(codec, partitions.key_values(codec, k, pk)) for k in e] for e in edges]
             n += sum(r["n"] for r in stretches)
             down += sum(r["down"] for r in stretches) + sum(b[0] < a[1] for a, b in zip(coded, coded[1:]))
             same += sum(r["same"] for r in stretches) + sum(b[0] == a[1] for a, b in zip(edges, edges[1:]))
@@ -213,9 +213,17 @@ def _rows_of_folders(table, parts: list[dict], schema_id: int) -> dict[str, dict
 def _with_file(table, parts: list[dict], schema_id: int) -> DataFrame:
     had = T.StructType.fromJson(table.root["schemas"][schema_id])
     df = table.store.spark.read.schema(had).parquet(*(p["path"] for p in parts))
-    # arrays are ranked by their bytes, which Arrow can compare
-    rank = F.struct(*((c.column(F.col(f"`{k}`")) if isinstance(had[k].dataType, T.ArrayType) else partitions.rankable(F.col(f"`{k}`"), had[k].dataType, c)).alias(f"rank{i}") for i, (k, c) in enumerate(zip(table.primary_key, K.parts_of(table.codec)))))
-    return df.select(*(f"`{k}`" for k in table.primary_key), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), rank.alias("rank"))
+
+    def rank(k: str, c: K.Codec) -> Column:
+        value, kind, base = F.col(f"`{k}`"), had[k].dataType, c
+        while isinstance(base, K.ReverseCodec):
+            base = base.inner
+        if isinstance(kind, T.ArrayType):  # by their bytes, which Arrow can compare
+            value, kind = base.column(value), T.BinaryType()
+        return partitions.rankable(value, kind, c)
+
+    ranks = F.struct(*(rank(k, c).alias(f"rank{i}") for i, (k, c) in enumerate(zip(table.primary_key, K.parts_of(table.codec)))))
+    return df.select(*(f"`{k}`" for k in table.primary_key), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), ranks.alias("rank"))
 
 
 def _stretches(table, parts: list[dict], schema_id: int) -> DataFrame:
