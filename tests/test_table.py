@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vellum.errors import BadTarget, BrokenLink, DuplicateKeys, IllegalArgument, RangeOverlap
 from vellum.operators import index
+from vellum.plans import table as module
 from vellum.operators.stats import _rows_of_folders, _stretches, collect_table_stats, field_stats, print_table_stats, stats_frame, validate, view_table
 from vellum.plans.table import Table, _plain, changes_between
 from vellum.sources.store import Store
@@ -336,3 +337,18 @@ def test_checks_of_rows_need_no_shuffle(store, spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sum(n != d for n, d, *_ in want.values()) == 2 and sum(down > 0 for _, _, down, *_ in want.values()) == 1
+
+
+def test_rows_of_a_merge_are_joined_once(store, spark, monkeypatch):
+    """Counting, sampling and sorting read what was joined and written once."""
+    t = made(store, partition_limit=20).load_records(spark.range(200).withColumn("a", F.lit(1))).insert(spark.range(0, 200, 3).withColumn("a", F.lit(2)))
+    seen = []
+    write = module.partitions.write_partitions
+
+    def watched(store, df, *rest):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(store, df, *rest)
+
+    monkeypatch.setattr(module.partitions, "write_partitions", watched)
+    assert t.compact().scan().filter("a = 2").count() == 67
+    assert len(seen) == 1 and "Join" not in seen[0]

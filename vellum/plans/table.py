@@ -570,6 +570,8 @@ class Table:
             runs[a : b + 1] = [i] * (b + 1 - a)
         numbers = F.from_json(F.lit(json.dumps(runs)), T.ArrayType(T.IntegerType()))
         rows = rows.withColumn(partitions.RUN, F.get(numbers, self._place(parts)) if len(spans) > 1 else F.lit(0))
+        # written once: they are counted, then sampled and read by the range shuffle
+        rows = self.store.scratch(rows, "spans")
         counts = {r[0]: r[1] for r in rows.groupBy(partitions.RUN).agg(F.count("*")).collect()}
         return rows, [counts.get(i, 0) for i in range(len(spans))]
 
