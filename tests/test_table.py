@@ -352,3 +352,12 @@ def test_rows_of_a_merge_are_joined_once(store, spark, monkeypatch):
     monkeypatch.setattr(module.partitions, "write_partitions", watched)
     assert t.compact().scan().filter("a = 2").count() == 67
     assert len(seen) == 1 and "Join" not in seen[0]
+
+
+def test_texts_of_compared_rows_are_not_shuffled(store, spark):
+    old = made(store, partition_limit=10).load_records(spark.range(100).withColumn("a", F.lit(1)))
+    found = changes_between(old, old.insert([{"id": 5, "a": 2}, {"id": 6, "a": 1}]).delete([7]).compact())
+    above, below = found._jdf.queryExecution().optimizedPlan().toString().split("Join FullOuter")
+    assert "json" in above.lower(), above
+    assert "json" not in below.lower(), below
+    assert sorted((r.id, r.change) for r in found.collect()) == [(5, "updated"), (7, "deleted")]

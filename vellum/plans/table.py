@@ -735,9 +735,8 @@ def changes_between(old: Table, new: Table) -> DataFrame:
         before, after = frames
     else:
         before, after = side(old, gone), side(new, fresh)
-    as_text = F.to_json(F.struct(*(f"`{c}`" for c in schema.names)))
-    a = before.select(*pk, F.struct(*(f"`{c}`" for c in schema.names)).alias("b"), as_text.alias("bt"))
-    b = after.select(*pk, F.struct(*(f"`{c}`" for c in schema.names)).alias("a"), as_text.alias("at"))
-    both = a.join(b, pk, "full_outer").filter("bt is null or at is null or bt <> at")
+    # rows are compared as texts, which are made after the join and not shuffled
+    a, b = (side.select(*pk, F.struct(*(f"`{c}`" for c in schema.names)).alias(name)) for side, name in ((before, "b"), (after, "a")))
+    both = a.join(b, pk, "full_outer").filter("b is null or a is null or to_json(b) <> to_json(a)")
     row = F.coalesce("a", "b")
-    return both.select(*(row[c].alias(c) for c in schema.names), F.when(F.col("bt").isNull(), "added").when(F.col("at").isNull(), "deleted").otherwise("updated").alias("change"))
+    return both.select(*(row[c].alias(c) for c in schema.names), F.when(F.col("b").isNull(), "added").when(F.col("a").isNull(), "deleted").otherwise("updated").alias("change"))
